@@ -19,6 +19,7 @@ line number) has a Jaccard similarity of at least ``threshold`` with it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -77,7 +78,7 @@ def _count(rows: DataFrame) -> tuple[np.ndarray, int]:
                 blob = np.minimum(own, 255).astype(np.uint8).tobytes() + np.stack([big, own[big]]).astype(np.int64).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack.compress(blob)], pa.binary())], ["slice", "blob"])
 
-    def total(key, batches):
+    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(part, np.int64)
         for b in batches:
             for blob in b.column("blob").to_pylist():
@@ -223,7 +224,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if held:
             yield from out()
 
-    def meet(key, batches):
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for b in batches for x in b.column("blob").to_pylist()]
         if key[0].as_py() is None or not blobs:
             return

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash, packing, toxicity
+from . import decontaminate, line_dedup, minhash, packing, rp_forest, substring, toxicity
 from ._store import read
 
 
@@ -31,6 +31,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(read(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

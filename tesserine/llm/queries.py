@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, line_dedup, minhash, packing, pii, rp_forest, substring, toxicity
-from ._store import read
+from . import decontaminate, licenses, line_dedup, minhash, packing, pii, rp_forest, substring, toxicity, warc
+from ._store import read, table_path
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages and returns the index of what was read back from the archive."""
+    path = table_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.load(spark, path).select("page_id", "url", "file", "offset", "length", "record_id", "digest", "intact")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

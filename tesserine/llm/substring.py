@@ -30,7 +30,7 @@ from . import _vec as V
 from ._store import text_rows
 
 K, M = 50, 8
-BUCKET_BYTES, FLUSH_BYTES = 24 << 20, 96 << 20
+BUCKET_BYTES, FLUSH_BYTES = 12 << 20, 48 << 20
 
 
 def super_kmers(w: V.Words, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,39 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
+from . import corpus_queries, graph_queries, text_queries  # noqa: F401  (they fill the register)
+from .base import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-@query(
-    "language_stats",
-    "SELECT lang AS language, count(*) AS files, CAST(sum(trunc(CAST(CAST(strlen(text) AS FLOAT) / CAST(3.5 AS FLOAT) AS FLOAT))) AS BIGINT) AS claude_tokens FROM documents GROUP BY lang",
-)
-def language_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    tokens = F.floor(F.octet_length("text").cast("float") / F.lit(3.5).cast("float")).cast("long")
-    return docs.groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("files"), F.sum(tokens).alias("claude_tokens"))
+    return dict(SQL)

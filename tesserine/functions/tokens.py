@@ -22,7 +22,7 @@ def of_size(size: Column, ratio: float, variant: str = "scan") -> Column:
         return F.floor((size.cast("float") / F.lit(ratio).cast("float")).cast("float")).cast("long")
     if variant == "quick":
         n = F.ceil((size.cast("float") / F.lit(ratio).cast("float")).cast("float")).cast("long")
-        return F.when(size == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), n))
+        return F.when(size == 0, F.lit(0).cast("long")).when(size > 0, F.greatest(F.lit(1).cast("long"), n))
     if variant == "wasm":
         return F.ceil(size / F.lit(ratio)).cast("long")
     return F.floor(size / F.lit(ratio)).cast("long")
@@ -37,7 +37,7 @@ def estimate(text: Column, ratio: float, special: bool) -> Column:
     t = F.octet_length(text) / F.lit(ratio) - _count(text, " \t") * F.lit(0.3) + _count(text, "\n") * F.lit(0.5)
     if special:
         t = t + _count(text, SPECIAL) * F.lit(0.3)
-    return F.when(F.octet_length(text) == 0, F.lit(0).cast("long")).otherwise(F.ceil(F.greatest(F.lit(1.0), F.round(t, 9))).cast("long"))
+    return F.when(F.octet_length(text) == 0, F.lit(0).cast("long")).when(F.octet_length(text) > 0, F.ceil(F.greatest(F.lit(1.0), F.round(t, 9))).cast("long"))
 
 
 def count(text: Column, model: str, variant: str = "scan") -> Column:

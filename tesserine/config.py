@@ -1,0 +1,50 @@
+"""Settings: defaults, then the user's file, then the tree's own, then the environment, then the profile."""
+
+from __future__ import annotations
+
+import json
+import os
+import tomllib
+from typing import Any
+
+DEFAULTS: dict[str, Any] = {
+    "scan": {"include": [], "exclude": [], "max_bytes": 50 << 20, "tests": False, "docs": False},
+    "output": {"format": "xml", "max_tokens": None, "line_numbers": True, "compression": "none"},
+    "security": {"scan": True, "redact": False, "allow": []},
+}
+NAMES = (".tesserine.toml", ".tesserine.json", "tesserine.toml", "tesserine.json")
+
+
+def parse(text: str, name: str) -> dict[str, Any]:
+    return json.loads(text) if name.endswith(".json") else tomllib.loads(text)
+
+
+def merge(a: dict[str, Any], b: dict[str, Any]) -> dict[str, Any]:
+    return a | {k: merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
+
+
+def from_environment(env: dict[str, str], prefix: str = "TESSERINE_") -> dict[str, Any]:
+    """PREFIX_SECTION__KEY=value; values are JSON where they parse as such."""
+    out: dict[str, Any] = {}
+    for k, v in env.items():
+        if k.startswith(prefix) and "__" in k:
+            section, key = k.removeprefix(prefix).lower().split("__", 1)
+            try:
+                out.setdefault(section, {})[key] = json.loads(v)
+            except ValueError:
+                out.setdefault(section, {})[key] = v
+    return out
+
+
+def load(root: str = ".", profile: str | None = None, env: dict[str, str] | None = None) -> dict[str, Any]:
+    """The tree's own file overrides the user's."""
+    out = DEFAULTS
+    user = os.path.expanduser("~/.config/tesserine/config.toml")
+    for at in (user, next((p for n in NAMES if os.path.isfile(p := os.path.join(root, n))), "")):
+        if at and os.path.isfile(at):
+            with open(at, encoding="utf-8") as f:
+                out = merge(out, parse(f.read(), at))
+    out = merge(out, from_environment(dict(os.environ) if env is None else env))
+    if profile:
+        out = merge(out, out.get("profiles", {}).get(profile, {}))
+    return out

@@ -1,0 +1,65 @@
+import json
+import subprocess
+
+import pytest
+
+from tesserine import cli, config
+from tesserine.sources import git, repo
+from tesserine.streaming import watch
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "r"
+    for name, body in {"src/main.rs": "fn main() {}\n", "src/helper.py": "def h():\n    return 1\n", "target/debug.rs": "x", "keep/target2.rs": "y", ".gitignore": "target/\n*.pyc\n!keep/\n/only.txt\n", "only.txt": "z", "keep/only.txt": "w", "a.pyc": "p", "README.md": "# r\n", "bin.dat": "d", ".git/HEAD": "ref: refs/heads/main\n", ".git/refs/heads/main": "a" * 40}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    (root / "latin.txt").write_bytes(b"\xff\xfe\x01")
+    return root
+
+
+def test_scan(spark, tree):
+    got = {r.relative_path: r for r in repo.scan(spark, str(tree)).collect()}
+    assert set(got) == {".gitignore", "README.md", "keep/only.txt", "keep/target2.rs", "src/helper.py", "src/main.rs"}
+    assert got["src/main.rs"].language == "rust" and got["src/main.rs"].content == "fn main() {}\n"
+    assert {r.relative_path for r in repo.scan(spark, str(tree), profile="binding").where("content is null").collect()} == {"latin.txt"}
+    assert repo.scan(spark, str(tree), metadata=True).where("content is not null").count() == 0
+    assert git.head(str(tree)) == ("main", "a" * 7)
+
+
+def test_cli(spark, tree, tmp_path):
+    doc = cli.main(["pack", str(tree), "--output", str(tmp_path / "o.xml")], spark)
+    assert doc.index("src/main.rs") < doc.index("src/helper.py") and "README.md" not in doc and (tmp_path / "o.xml").read_text() == doc
+    assert json.loads(cli.main(["scan", str(tree), "--include-docs"], spark))["files"] >= 4
+    assert "src/helper.py (1): h" in cli.main(["map", str(tree)], spark)
+    assert json.loads(cli.main(["info", str(tree)], spark))["branch"] == "main"
+    assert cli.main(["init", str(tmp_path)]).endswith(".json")
+
+
+def test_config(tmp_path):
+    (tmp_path / "tesserine.toml").write_text('[output]\nformat = "json"\n[profiles.small.output]\nmax_tokens = 5\n')
+    c = config.load(str(tmp_path), "small", {"TESSERINE_SCAN__TESTS": "true"})
+    assert (c["output"]["format"], c["output"]["max_tokens"], c["scan"]["tests"]) == ("json", 5, True)
+
+
+def test_git(spark, tmp_path):
+    root = str(tmp_path)
+    run = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init")
+    (tmp_path / "t.txt").write_text("one\n")
+    run("add", "t.txt")
+    run("commit", "-m", "Initial commit")
+    (tmp_path / "t.txt").write_text("one\ntwo\n")
+    (tmp_path / "new").write_text("n")
+    assert [r.message for r in git.log(spark, root).collect()] == ["Initial commit"]
+    assert {tuple(r) for r in git.status(spark, root).collect()} == {("t.txt", "modified"), ("new", "added")}
+    assert git.changes(spark, root).first().path == "t.txt"
+    assert [r.author for r in git.blame(spark, root, "t.txt").collect()][0] == "n"
+    with pytest.raises(FileExistsError):
+        git.clone("https://example.org/x", root)
+
+
+def test_stream_takes_up_new_files(spark, tmp_path):
+    at = str(tmp_path / "in")
+    spark.createDataFrame([("en", "ab"), ("de", "é")], "lang string, text string").write.parquet(at)
+    assert {tuple(r) for r in watch.language_totals(spark, at).collect()} == {("en", 1, 2), ("de", 1, 2)}

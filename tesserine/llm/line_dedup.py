@@ -12,9 +12,11 @@ line number) has a Jaccard similarity of at least ``threshold`` with it.
    bucket; a token that the table knows to be in one line only is left out.  Equal sets
    collapse within a task first, so a line that is everywhere reaches its buckets once a task.
 3. Filters.  In a bucket, equal sets give removals at once.  Others must pass the length
-   filter, the positional filter (tokens left after the shared one) and a bitmap bound on the
-   overlap; all three are exact.
-4. Verification.  Both sets of each remaining pair are fetched and the Jaccard index computed.
+   filter, the positional filter (tokens left after the shared one) and a bound on the symmetric
+   difference from bitmaps (each unlike token flips one bit); all three are exact.
+4. Verification.  A line needs one proof, so its likeliest partner (nearest by the bitmaps,
+   then the earliest) is tried first and the others only if that fails.  Both lines of a pair
+   are fetched from the texts and the Jaccard index of their sets computed.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from ._store import cut, drop, text_rows
 
 THRESHOLD = Fraction(4, 5)
 CELLS, SLICES = 1 << 22, 64
-POSTINGS_PER_BUCKET, FLUSH = 1_500_000, 2_000_000
+POSTINGS_PER_BUCKET, FLUSH = 700_000, 1_000_000
 _ONCE = 8  # level of a cell that counted one line
+_MARKS = 1 << 23
 
 
 def line_sets(col):
@@ -66,10 +69,15 @@ def _count(rows: DataFrame) -> tuple[np.ndarray, int]:
     part = CELLS // SLICES
 
     def tally(batches):
-        n = np.zeros(CELLS, np.int64)
+        n, held = np.zeros(CELLS, np.int64), []
         for b in batches:
             for _, _, _, tokens in line_sets(b.column(1)):
-                n += np.bincount(cell(tokens), minlength=CELLS)
+                held.append(cell(tokens))
+                if sum(map(len, held)) > CELLS:
+                    n += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held.clear()
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=CELLS)
         pack = zstandard.ZstdCompressor(level=1)
         for s in range(SLICES):
             own = n[s * part : (s + 1) * part]
@@ -98,7 +106,7 @@ def _count(rows: DataFrame) -> tuple[np.ndarray, int]:
     return levels, tokens
 
 
-_FIELDS = (("token", np.uint64), ("set", np.uint64), ("bits", np.uint64), ("doc", np.int64), ("line", np.int32), ("size", np.int32), ("pos", np.int32))
+_FIELDS = (("token", np.uint64), ("set", np.uint64), ("bits", np.uint64), ("more", np.uint64), ("doc", np.int64), ("line", np.int32), ("size", np.int32), ("pos", np.int32))
 
 
 def prefixes(ids: np.ndarray, col, levels: np.ndarray, t: Fraction) -> dict[str, np.ndarray]:
@@ -110,13 +118,14 @@ def prefixes(ids: np.ndarray, col, levels: np.ndarray, t: Fraction) -> dict[str,
         level = levels[cell(tokens)]
         mixed = V.mix(tokens ^ V.U64(0x5851F42D4C957F2D))
         sets = np.add.reduceat(mixed, first[:-1])
-        bits = np.bitwise_or.reduceat(V.U64(1) << (mixed >> V.U64(58)), first[:-1])
+        bits = np.bitwise_xor.reduceat(V.U64(1) << (mixed >> V.U64(58)), first[:-1])  # unlike tokens of two sets flip one bit each
+        more = np.bitwise_xor.reduceat(V.U64(1) << ((mixed >> V.U64(52)) & V.U64(63)), first[:-1])
         order = np.lexsort((tokens, level, owner))
         pos = np.arange(len(tokens)) - first[owner]
         length = size - (t.numerator * size + t.denominator - 1) // t.denominator + 1
         use = (pos < length[owner]) & (level[order] != _ONCE)
         o = owner[use]
-        for k, v in (("token", tokens[order][use]), ("set", sets[o]), ("bits", bits[o]), ("doc", ids[row[o]]), ("line", line[o]), ("size", size[o]), ("pos", pos[use])):
+        for k, v in (("token", tokens[order][use]), ("set", sets[o]), ("bits", bits[o]), ("more", more[o]), ("doc", ids[row[o]]), ("line", line[o]), ("size", size[o]), ("pos", pos[use])):
             out[k].append(v)
     return {k: np.concatenate(out[k]).astype(d) if out[k] else np.zeros(0, d) for k, d in _FIELDS}
 
@@ -134,20 +143,23 @@ def _collapse(p: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarr
     return {k: v[fresh] for k, v in p.items()}, pairs[0], pairs[1]
 
 
-def _pack(p: dict[str, np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(len(p["token"]).to_bytes(8, "little") + b"".join(p[k].tobytes() for k, _ in _FIELDS))
+def _pack(p: dict[str, np.ndarray], fields=_FIELDS) -> bytes:
+    """Columns as planes of bytes, compressed: high bytes hardly differ and go for nothing."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(p[k], dtype=d).view(np.uint8).reshape(-1, np.dtype(d).itemsize).T).tobytes() for k, d in fields]
+    return zstandard.ZstdCompressor(level=1).compress(len(p[fields[0][0]]).to_bytes(8, "little") + b"".join(planes))
 
 
-def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+def _unpack(blob: bytes, fields=_FIELDS) -> dict[str, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
-    for k, d in _FIELDS:
-        size = n * np.dtype(d).itemsize
-        out[k] = np.frombuffer(raw[at : at + size], d)
-        at += size
+    for k, d in fields:
+        size = np.dtype(d).itemsize
+        out[k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(d).ravel()
+        at += n * size
     return out
 
 
+_PLACE = (("doc", np.int64), ("line", np.int32))
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -155,8 +167,9 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return sum(_POP[((x >> V.U64(s)) & V.U64(0xFFFF)).astype(np.int64)].astype(np.int64) for s in (0, 16, 32, 48))
 
 
-def candidates(p: dict[str, np.ndarray], t: Fraction, limit: int = 1 << 20):
-    """Index pairs of collapsed postings that share a token and pass length, position and bitmap."""
+def candidates(p: dict[str, np.ndarray], t: Fraction, limit: int = 1 << 19):
+    """Index pairs of collapsed postings that share a token and pass length, position and bitmaps, and
+    how far apart the bitmaps are, in thousandths of both sizes."""
     n = len(p["token"])
     order = np.lexsort((p["size"], p["token"]))
     token, size = p["token"][order], p["size"][order].astype(np.int64)
@@ -176,10 +189,9 @@ def candidates(p: dict[str, np.ndarray], t: Fraction, limit: int = 1 << 20):
         most = 1 + np.minimum(p["size"][a] - p["pos"][a], p["size"][b] - p["pos"][b]) - 1
         ok = np.flatnonzero(most >= need)
         a, b, both, need = a[ok], b[ok], both[ok], need[ok]
-        ok = _popcount(p["bits"][a] ^ p["bits"][b]) <= both - 2 * need
-        a, b = a[ok], b[ok]
-        ok = (p["set"][a] != p["set"][b]) | (p["size"][a] != p["size"][b])
-        yield a[ok], b[ok]
+        apart = np.maximum(_popcount(p["bits"][a] ^ p["bits"][b]), _popcount(p["more"][a] ^ p["more"][b]))
+        ok = (apart <= both - 2 * need) & ((p["set"][a] != p["set"][b]) | (p["size"][a] != p["size"][b]))
+        yield a[ok], b[ok], (1000 * apart[ok] // both[ok]).astype(np.int32)
         lo = hi
 
 
@@ -190,7 +202,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are runs of ASCII letters and digits and of non-ASCII characters, ASCII case folded.
     Lines without a word (blank ones, rules) match nothing.  Null texts have no lines.  Rows
     with a null id can't be ordered and are left alone.  Rows that repeat an id are one
-    document, a line of it never matching itself.  Lines and texts of any length are used
+    document, a line of it never matching itself; should their texts differ, the least text
+    of a line stands for it in verification.  Lines and texts of any length are used
     whole; an empty table gives no rows; other columns are never looked at.
     """
     spark = docs.sparkSession
@@ -206,15 +219,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def out():
             p, doc, line = _collapse({k: np.concatenate([h[k] for h in held]) for k, _ in _FIELDS})
             held.clear()
-            if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(line.astype(np.int32))], ["bucket", "blob", "doc", "line"])
             where = (V.mix(p["token"]) % V.U64(many)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(many + 1))
             for k in range(many):
                 at = order[cuts[k] : cuts[k + 1]]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack({f: v[at] for f, v in p.items()})], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], ["bucket", "blob", "doc", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack({f: v[at] for f, v in p.items()})], pa.binary()), pa.array([False])], ["bucket", "blob", "gone"])
+            if len(doc):  # settled here: any bucket passes them on
+                blob = _pack({"doc": doc, "line": line.astype(np.int32)}, _PLACE)
+                yield pa.RecordBatch.from_arrays([pa.array([int(doc[0] % many)], pa.int32()), pa.array([blob], pa.binary()), pa.array([True])], ["bucket", "blob", "gone"])
 
         for b in batches:
             if b.num_rows:
@@ -225,72 +239,146 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield from out()
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in b.column("blob").to_pylist()]
-        if key[0].as_py() is None or not blobs:
+        parts, names = [], ["doc", "line", "odoc", "oline", "apart"]
+        for b in batches:
+            for blob, gone in zip(b.column("blob").to_pylist(), b.column("gone").to_pylist()):
+                if gone:
+                    p = _unpack(blob, _PLACE)
+                    yield pa.RecordBatch.from_arrays([pa.array(p["doc"]), pa.array(p["line"]), pa.nulls(len(p["doc"]), pa.int64()), *[pa.nulls(len(p["doc"]), pa.int32())] * 2], names)
+                else:
+                    parts.append(_unpack(blob))
+        if not parts:
             return
-        parts = [_unpack(x) for x in blobs]
         p, doc, line = _collapse({k: np.concatenate([x[k] for x in parts]) for k, _ in _FIELDS})
+        parts.clear()
         if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line.astype(np.int32)), pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int32())], ["doc", "line", "odoc", "oline"])
-        for a, b in candidates(p, t):
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line.astype(np.int32)), pa.nulls(len(doc), pa.int64()), *[pa.nulls(len(doc), pa.int32())] * 2], names)
+        for a, b, apart in candidates(p, t):
             later = (p["doc"][a] > p["doc"][b]) | ((p["doc"][a] == p["doc"][b]) & (p["line"][a] > p["line"][b]))
             y, x = np.where(later, a, b), np.where(later, b, a)
-            yield pa.RecordBatch.from_arrays([pa.array(p["doc"][y]), pa.array(p["line"][y]), pa.array(p["doc"][x]), pa.array(p["line"][x])], ["doc", "line", "odoc", "oline"])
-
-    posted = cut(rows.mapInArrow(post, "bucket int, blob binary, doc long, line int"), "postings")
-    met = cut(posted.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(meet, "doc long, line int, odoc long, oline int").distinct(), "candidates")
-    same = posted.where("bucket is null").select("doc", "line").unionAll(met.where("odoc is null").select("doc", "line")).distinct()
-    # a line known to go needs no further proof
-    pairs = met.where("odoc is not null").join(met.where("odoc is null").select("doc", "line"), ["doc", "line"], "left_anti")
-    pairs = cut(pairs, "pairs")
-    out = cut(same.unionAll(_verified(rows, pairs, t)).distinct().select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line_no")), "removed")
-    for x in (posted, met, pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(p["doc"][y]), pa.array(p["line"][y]), pa.array(p["doc"][x]), pa.array(p["line"][x]), pa.array(apart)], names)
+
+    found = rows.mapInArrow(post, "bucket int, blob binary, gone boolean").groupBy("bucket").applyInArrow(meet, "doc long, line int, odoc long, oline int, apart int")
+    met = cut(found.groupBy("doc", "line", "odoc", "oline").agg(F.min("apart").alias("apart")), "candidates")
+    gone = met.where("odoc is null").select("doc", "line")
+    # a line known to go needs no further proof, and one proof is enough: the likeliest partner is tried first
+    pairs = cut(met.where("odoc is not null").join(gone, ["doc", "line"], "left_anti"), "pairs")
+    best = cut(pairs.groupBy("doc", "line").agg(F.min(F.struct("apart", "odoc", "oline")).alias("b")).select("doc", "line", "b.odoc", "b.oline"), "best")
+    first = cut(_proven(rows, best, t), "proven")
+    open_ = best.join(first, ["doc", "line"], "left_anti").select("doc", "line", F.col("odoc").alias("tdoc"), F.col("oline").alias("tline"))
+    rest = cut(pairs.join(open_, ["doc", "line"]).where("odoc <> tdoc or oline <> tline").select("doc", "line", "odoc", "oline"), "rest")
+    every = gone.unionAll(first).unionAll(_proven(rows, rest, t))
+    out = cut(every.distinct().select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line_no")), "removed")
+    for x in (met, pairs, best, first, rest):
         drop(x)
     return out
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
-    """(doc, line) of the later line of each pair whose Jaccard index reaches the threshold."""
-    ends = pairs.select("doc", "line").unionAll(pairs.select(F.col("odoc").alias("doc"), F.col("oline").alias("line"))).distinct()
-    wanted = ends.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("_lines"))
+def _holding(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows whose id may be one of ``docs``: all that are, and others by chance.  The marks are a
+    bitmap of fixed size, so that most texts that aren't asked for stay out of a shuffle."""
+    at = F.pmod(F.xxhash64("doc"), F.lit(_MARKS))
+    marks = docs.select(F.floor(at / 32768).cast("int").alias("_slot"), (at % 32768).alias("_bit")).groupBy("_slot").agg(F.expr("bitmap_construct_agg(_bit)").alias("_marks"))
+    own = F.pmod(F.xxhash64("_id"), F.lit(_MARKS))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(own % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_at", F.floor(own / 32768).cast("int")).join(F.broadcast(marks), F.col("_at") == F.col("_slot"))  # 256 bitmaps of 4 kB
+    bit = F.pow(F.lit(2), own % 8).cast("int")
+    return held.where(byte.bitwiseAND(bit) != 0).select("_id", "_text")
+
+
+def _proven(rows: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
+    """(doc, line) of the lines that have a Jaccard index at or above the threshold with one of their partners.
+
+    The text of a line goes once to its own place, and once to that of each line it is compared with.
+    """
+    spot = "struct<line:int,doc:bigint,home:int,odoc:bigint,oline:int>"
+    mine = pairs.select("doc", "line").distinct().select(F.col("doc").alias("at"), F.struct("line", "doc", F.col("line").alias("home"), F.lit(None).cast("long").alias("odoc"), F.lit(None).cast("int").alias("oline")).cast(spot).alias("w"))
+    theirs = pairs.select(F.col("odoc").alias("at"), F.struct(F.col("oline").alias("line"), "doc", F.col("line").alias("home"), "odoc", "oline").cast(spot).alias("w"))
+    lists = mine.unionAll(theirs).groupBy(F.col("at").alias("_doc")).agg(F.collect_list("w").alias("_want"))
 
     def fetch(batches):
         for b in batches:
-            want = b.column(2).to_pylist()
-            ids = b.column(0)
-            for row, line, first, tokens in line_sets(b.column(1)):
-                some = [set(want[r]) for r in range(row[0], row[-1] + 1)]
-                at = [i for i in range(len(row)) if line[i] in some[row[i] - row[0]]]
-                if at:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at])), pa.array(line[at].astype(np.int32)), pa.array([tokens[first[i] : first[i + 1]].tobytes() for i in at], pa.binary())], ["doc", "line", "tokens"])
-
-    texts = rows.join(wanted, rows["_id"] == F.col("_doc")).select("_id", "_text", "_lines")
-    sets = cut(texts.mapInArrow(fetch, "doc long, line int, tokens binary").dropDuplicates(["doc", "line"]), "line-sets")
+            data, off = V.buffers(b.column(0))
+            want = b.column(1)
+            w = want.flatten()
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(want.offsets)))
+            line = np.asarray(w.field("line")).astype(np.int64)
+            ends = np.flatnonzero(data[off[0] : off[-1]] == 10) + off[0]
+            at = np.searchsorted(ends, off[row]) + line  # the line feed that ends it, if the text has it
+            stop = np.minimum(np.r_[ends, off[-1]][np.minimum(at, len(ends))], off[row + 1])
+            before = np.r_[0, ends + 1][np.minimum(at, len(ends))]
+            start = np.minimum(np.where(line == 0, off[row], before), stop)
+            text = [data[x:y].tobytes() for x, y in zip(start.tolist(), stop.tolist())]
+            yield pa.RecordBatch.from_arrays([w.field("doc"), w.field("home"), w.field("odoc"), w.field("oline"), pa.array(text, pa.binary())], ["doc", "line", "odoc", "oline", "words"])
+
+    held = _holding(rows, pairs.select("doc").unionAll(pairs.select(F.col("odoc").alias("doc"))))
+    lines = held.join(lists, F.col("_id") == F.col("_doc")).select("_text", "_want").mapInArrow(fetch, "doc long, line int, odoc long, oline int, words binary")
+    sides = lines.groupBy("doc", "line").agg(F.min(F.when(F.col("odoc").isNull(), F.col("words"))).alias("y"), F.collect_list(F.when(F.col("odoc").isNotNull(), F.col("words"))).alias("x"))
 
     def judge(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                keep.append(t.denominator * both >= t.numerator * ((len(x) + len(y)) // 8 - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc", "line"]).filter(pa.array(keep, pa.bool_()))
-
-    own = pairs.join(sets.withColumnRenamed("tokens", "x"), ["doc", "line"])
-    other = own.join(sets.select(F.col("doc").alias("odoc"), F.col("line").alias("oline"), F.col("tokens").alias("y")), ["odoc", "oline"])
-    return other.select("doc", "line", "x", "y").mapInArrow(judge, "doc long, line int")
-
-
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: Fraction = THRESHOLD) -> DataFrame:
+            x = b.column(3)
+            who = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(x.offsets)))
+            own, other = _sets(b.column(2)), _sets(x.flatten())
+            keep = np.zeros(b.num_rows, bool)
+            for lo, hi in V.slices(np.r_[0, np.cumsum(own[1][who] + other[1])], 1 << 20):  # partners, by tokens on both sides
+                pair = np.repeat(np.arange(lo, hi), own[1][who[lo:hi]])
+                at = np.arange(len(pair)) - np.repeat(np.cumsum(own[1][who[lo:hi]]) - own[1][who[lo:hi]], own[1][who[lo:hi]]) + own[2][who[pair]]
+                theirs = slice(int(other[2][lo]), int(other[2][hi - 1] + other[1][hi - 1]))
+                owner = np.concatenate([pair, np.repeat(np.arange(lo, hi), other[1][lo:hi])]) - lo
+                token = np.concatenate([own[0][at], other[0][theirs]])
+                order = np.lexsort((token, owner))
+                owner, token = owner[order], token[order]
+                twice = (owner[1:] == owner[:-1]) & (token[1:] == token[:-1])
+                common = np.bincount(owner[1:][twice], minlength=hi - lo)
+                ok = (common > 0) & (t.denominator * common >= t.numerator * (own[1][who[lo:hi]] + other[1][lo:hi] - common))
+                keep[who[lo:hi][ok]] = True
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc", "line"]).filter(pa.array(keep))
+
+    return sides.mapInArrow(judge, "doc long, line int")
+
+
+def _sets(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a column of single lines, how many each has, and where they begin."""
+    many, token = np.zeros(len(col), np.int64), []
+    for row, _, first, tokens in line_sets(col):
+        many[row] = np.diff(first)
+        token.append(tokens)
+    return np.concatenate(token or [np.zeros(0, np.uint64)]), many, np.cumsum(many) - many
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str | None = None, threshold: Fraction = THRESHOLD) -> DataFrame:
     """``docs`` with the removed lines taken out of the text.
 
     A document that loses lines and keeps no word at all goes (it only repeated others); one
     that had none to begin with, or loses nothing, stays as it is, null id and null text
-    included.  All columns stay.
+    included.  All columns stay; ``length_col``, if given, becomes the number of characters
+    of a text that lost lines.
     """
     gone = removed_lines(docs, id_col, text_col, threshold=threshold)
     lists = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(lists, docs[id_col] == F.col("_gone_id"), "left")
-    left = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    new = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(left)
-    kept = joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns], F.col("_gone").isNotNull().alias("_touched"))
-    return kept.where(~F.col("_touched") | F.col(text_col).rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).drop("_touched")
+    rows = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(docs.columns)})  # no name can clash
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    joined = rows.join(lists, F.col(place[id_col]).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    text, types = joined.columns.index(place[text_col]), joined.drop("_gone").schema
+    length = None if length_col is None else joined.columns.index(place[length_col])
+    width = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(b.columns)
+            new, keep = cols[text].to_pylist(), [True] * b.num_rows
+            n = None if length is None else cols[length].to_pylist()
+            for i in np.flatnonzero(np.asarray(cols[width].is_valid())).tolist():
+                out = set(cols[width][i].as_py())
+                new[i] = "\n".join(x for k, x in enumerate(new[i].split("\n")) if k not in out)
+                keep[i] = bool(V.ALNUM[np.frombuffer(new[i].encode(), np.uint8)].any())
+                if n is not None:
+                    n[i] = len(new[i])
+            cols[text] = pa.array(new, cols[text].type)
+            if length is not None:
+                cols[length] = pa.array(n, cols[length].type)
+            yield pa.RecordBatch.from_arrays(cols[:width], names=b.schema.names[:width]).filter(pa.array(keep))
+
+    done = joined.mapInArrow(run, types)
+    return done.withColumnsRenamed({v: k for k, v in place.items()})

@@ -272,13 +272,15 @@ def test_pii_over_a_table(spark):
 # ---------------------------------------------------------------- 4 toxicity
 
 def test_toxicity_held_out_and_counterfactual(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.train(docs, labels.where("doc_id % 3 <> 0"))
     truth = {r.doc_id: r.toxic for r in labels.where("doc_id % 3 = 0").collect()}
     bad = {r.doc_id for r in toxicity.flag(docs, model).collect()}
     right = sum((d in bad) == bool(t) for d, t in truth.items())
-    assert right >= 0.95 * len(truth)
+    toxic = {d for d, t in truth.items() if t}
+    assert len(toxic) > 100 and right >= 0.96 * len(truth)
+    assert len(bad & toxic) >= 0.85 * len(toxic) and len(bad & (truth.keys() - toxic)) <= 0.02 * len(truth)
     kept = toxicity.drop_toxic(docs, model)
     assert kept.schema == docs.schema and {r.doc_id for r in kept.select("doc_id").collect()}.isdisjoint(bad)
 
@@ -435,7 +437,10 @@ def test_packing_fills_gaps_and_is_tight():
     pieces = [(r.choice((40, 300, 1900, 5000, 20000)) + r.randrange(40), i, 0) for i in range(3000)]
     out = packing.pack_shard(pieces)
     assert sorted(p for _, _, _, w in out for p in w) == sorted(pieces)
-    assert sum(p[0] for p in pieces) / sum(c for c, *_ in out) > 0.97
+    # no two of the largest share a window: as many windows as there are of them is the least possible
+    assert sum(c for c, *_ in out) == 32768 * sum(p[0] > 16384 for p in pieces)
+    small = [(40 + r.randrange(9000), i, 0) for i in range(3000)]
+    assert sum(p[0] for p in small) / sum(c for c, *_ in packing.pack_shard(small)) > 0.95
     assert any(c == 32768 and any(p[0] <= 2048 for p in w) for c, _, _, w in out)
 
 
@@ -454,7 +459,7 @@ def pages(spark, rows):
 
 def test_warc_round_trip(spark, sf, tmp_path):
     src = spark.read.parquet(f"{sf}/pages.parquet")
-    warc.write(src, f"file://{tmp_path}/w", file_bytes=200_000)
+    warc.write(src, f"file://{tmp_path}/w", file_bytes=60_000)
     back = warc.load(spark, f"file://{tmp_path}/w")
     assert {tuple(r) for r in back.select("page_id", "url", "html").collect()} == {tuple(r) for r in src.select("page_id", "url", "html").collect()}
     rows = back.collect()

@@ -68,9 +68,9 @@ def escape(url: str) -> str:
 
 
 def train(records: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from all the records, or None where they are too few or too short for one."""
+    """A dictionary from all the records, of at most a quarter of their size; None where they are too few or too short for one."""
     try:
-        return zstandard.train_dictionary(size, records, k=200, d=8)
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, records)) // 4)), records, k=200, d=8)
     except zstandard.ZstdError:
         return None
 
@@ -131,7 +131,7 @@ class WarcWriter(DataSourceArrowWriter):
         def out() -> None:
             name = f"{part:06d}-{len(files):04d}-{uuid.uuid4().hex}.warc.zst"
             info = record("warcinfo", None, None, b"format: WARC File Format 1.1\r\n", str(uuid.uuid5(uuid.UUID(job), name)), date, "application/warc-fields")
-            with fs.open_output_stream(f"{root}/{name}") as f:
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 for frame in archive([info, *held], int(self.options.get("dictionarybytes", DICTIONARY_BYTES))):
                     f.write(frame)
             files.append(name)
@@ -184,7 +184,7 @@ class WarcReader(DataSourceReader):
         if not partition.name:
             return
         fs, root = pyarrow.fs.FileSystem.from_uri(self.options["path"])
-        with fs.open_input_stream(f"{root}/{partition.name}") as f:
+        with fs.open_input_stream(f"{root}/{partition.name}", compression=None) as f:
             data = f.read()
         rows, size = [], 0
         for offset, length, raw in frames(data):

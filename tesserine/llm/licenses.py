@@ -15,6 +15,8 @@ containment verifies them.
    contains, counted exactly, must reach ``containment``.  Windows of one template
    that overlap are one match: the widest cover, the highest share.  A match goes if another
    template fits more than half of its stretch with a higher share (versions of one text).
+5. A template of a single shingle is either there or not: it is looked up among the shingles
+   of a text, without bands.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission"),
+    ("Proprietary", "All rights reserved"),
 )
 
 
@@ -74,7 +77,9 @@ class Class:
 @dataclass
 class Templates:
     names: list[str]
-    grams: list[np.ndarray]  # sorted distinct shingles
+    number: list[int]  # of those below, in names
+    grams: list[np.ndarray]  # sorted distinct shingles of the templates of several
+    single: dict[int, list[int]]  # the shingle of a template that has but one: its numbers
     classes: list[Class]
     rows: int
     odd: np.ndarray
@@ -110,13 +115,18 @@ def _key(sig: np.ndarray, band: int, rows: int) -> np.ndarray:
 
 def prepare(templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT, rows: int = ROWS, target: float = TARGET) -> Templates:
     """Templates of fewer than ``SHINGLE`` words are too short to be told from chance and are left out."""
-    names, sets = [], []
+    names, number, sets = [], [], []
+    single: dict[int, list[int]] = {}
     for name, text in templates:
         for w in V.words(pa.array([text], pa.large_string())):
             g = np.unique(grams(w.hash, w.row)[0])
+            if len(g) == 1:
+                single.setdefault(int(g[0]), []).append(len(names))
+            elif len(g):
+                number.append(len(names))
+                sets.append(g)
             if len(g):
                 names.append(name)
-                sets.append(g)
     sizes = [FIRST_SIZE]
     while sets and sizes[-1] < max(map(len, sets)) + STRIDE:
         sizes.append(-(-int(sizes[-1] * GROWTH) // STRIDE) * STRIDE)
@@ -135,7 +145,7 @@ def prepare(templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: flo
         near = np.zeros(1 << 18, dtype=bool)
         near[(key >> V.U64(46)).astype(np.int64)] = True
         classes.append(Class(c, bands[c], key[order], np.tile(np.array(own), bands[c])[order], near))
-    return Templates(names, sets, classes, rows, odd, containment)
+    return Templates(names, number, sets, single, classes, rows, odd, containment)
 
 
 def _windows(minima: np.ndarray, first: np.ndarray, many: int) -> np.ndarray:
@@ -158,7 +168,7 @@ def search(col, t: Templates) -> Iterator[tuple[int, int, float, int, int]]:
     """Yields (row, template, containment, first word, last word)."""
     for w in V.words(col):
         g, row = grams(w.hash, w.row)
-        if not len(g) or not t.classes:
+        if not len(g) or not t.names:
             continue
         start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         length = np.diff(np.r_[start, len(g)])
@@ -171,6 +181,10 @@ def search(col, t: Templates) -> Iterator[tuple[int, int, float, int, int]]:
         short = (g >> V.U64(32)).astype(np.uint32)
         minima = _minima(np.stack([short[np.minimum(block + i, last)] for i in range(STRIDE)]), t.odd)
         found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        for i in np.flatnonzero(np.isin(g, np.array([*t.single], np.uint64))).tolist():
+            s = i - int(start[np.searchsorted(start, i, side="right") - 1])
+            for who in t.single[int(g[i])]:
+                found.setdefault((int(row[i]), who), []).append((s, s + SHINGLE - 1, 1.0))
         for c in t.classes:
             many = c.size // STRIDE
             whole = (within == 0) | (within + many <= strides[owner])
@@ -191,7 +205,7 @@ def search(col, t: Templates) -> Iterator[tuple[int, int, float, int, int]]:
                 share = len(np.unique(own[inside])) / len(t.grams[who])
                 if share >= t.containment:
                     base = lo - int(start[r])
-                    found.setdefault((int(row[lo]), who), []).append((base + int(inside[0]), base + int(inside[-1]) + SHINGLE - 1, share))
+                    found.setdefault((int(row[lo]), t.number[who]), []).append((base + int(inside[0]), base + int(inside[-1]) + SHINGLE - 1, share))
         by_row: dict[int, list[list]] = {}
         for (x, who), hits in sorted(found.items()):
             merged: list[list] = []

@@ -347,6 +347,26 @@ def test_licenses_equal_brute_force(spark):
     assert len(t.names) == len(licenses.TEMPLATES)
 
 
+def test_license_lines_of_the_data_are_found(spark):
+    """Short lines on licenses and rights as the documents have them, not as TEMPLATES does."""
+    about = re.compile(r"(?i)\blicen[sc]ed? under\b|\breleased under\b|\ball rights reserved\b")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, line) for r in docs.select("doc_id", "text").collect() for line in (r.text or "").split("\n") if len(line) < 120 and about.search(line)}
+    found: dict[int, Counter] = {}
+    for r in licenses.scan(docs).collect():
+        found.setdefault(r.doc_id, Counter())[r.license] += 1
+    assert {d for d, _ in want} <= set(found)
+    bare = {d for d, line in want if "all rights reserved" in line.lower()}
+    assert bare and all(found[d]["Proprietary"] for d in bare)
+
+
+def test_license_of_one_shingle(spark):
+    rows = [(1, "Words before. ALL RIGHTS  RESERVED. All rights reserved."), (2, "all rights were reserved"), (3, "rights reserved"), (4, "All rights reserved")]
+    got = sorted((r.doc_id, r.license, r.first_word, r.last_word) for r in licenses.scan(table(spark, rows)).collect())
+    assert got == [(1, "Proprietary", 2, 4), (1, "Proprietary", 5, 7), (4, "Proprietary", 0, 2)]
+    assert licenses.scan(table(spark, rows), templates=(("X", "all rights reserved"),)).count() == 3
+
+
 def test_licenses_awkward(spark):
     assert licenses.scan(table(spark, AWKWARD)).count() == 0 and licenses.scan(table(spark, [])).count() == 0
     assert licenses.scan(table(spark, AWKWARD), templates=()).count() == 0

@@ -3,7 +3,9 @@
 Each kind has a pattern that proposes spans, a base score, and, where the format has one, a
 validator that a span must pass: Luhn for card numbers, the mod-97 rule for IBANs, octet
 ranges for addresses, number ranges for US social security numbers.  A span that fails its
-validator is dropped whatever stands beside it.  Words near a confirmed span then
+validator is dropped whatever stands beside it.  A kind may propose more than a pattern's
+match: of a run of digit groups every stretch of whole groups may be a card number, and an
+IBAN may end before the match does.  Words near a confirmed span then
 move its score: words of the kind raise it, words that speak of samples, orders or versions
 lower it.  Spans below ``threshold`` are dropped.  Of overlapping spans that remain, the higher
 score stays, of equal ones the longer, then the first.
@@ -73,6 +75,28 @@ def email(text: str) -> bool:
     return bool(local) and ".." not in text and len(local) <= 64 and all(0 < len(p) <= 63 and p[0] != "-" != p[-1] for p in host.split("."))
 
 
+def cards(run: str) -> Iterator[tuple[int, int]]:
+    """Stretches of whole digit groups of a run that pass Luhn's check."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    for i, (s, _) in enumerate(groups):
+        many = 0
+        for a, e in groups[i : i + 19]:
+            many += e - a
+            if many > 19:
+                break
+            if many >= 13 and luhn(run[s:e]):
+                yield s, e
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest start of the text, of whole groups, that is an IBAN."""
+    while not iban(text):
+        if (cut := max(text.rfind(" "), text.rfind("-"))) <= 0:
+            return
+        text = text[:cut]
+    yield 0, len(text)
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -80,12 +104,13 @@ class Kind:
     score: float
     valid: Callable[[str], bool] | None
     near: str
+    within: Callable[[str], Iterator[tuple[int, int]]] | None = None  # the valid spans in a match; else the match itself
 
 
 KINDS: tuple[Kind, ...] = (
     Kind("email", r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])", 0.9, email, "e-?mail|mail|contact|courriel|correo|kontakt"),
-    Kind("credit_card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", 0.7, luhn, "card|visa|mastercard|amex|credit|carte|tarjeta|karte|kreditkarte"),
-    Kind("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?!\w)", 0.8, iban, "iban|bank|account|konto|compte|cuenta|bic|swift"),
+    Kind("credit_card", r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-]|\.\d)", 0.7, luhn, "card|visa|mastercard|amex|credit|carte|tarjeta|karte|kreditkarte", cards),
+    Kind("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?!\w)", 0.8, iban, "iban|bank|account|konto|compte|cuenta|bic|swift", ibans),
     Kind("ip_address", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", 0.6, ipv4, "ip|host|server|address|adresse|dirección"),
     Kind("us_ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", 0.6, ssn, "ssn|social|security"),
     Kind("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)", 0.6, phone, "phone|tel|mobile|call|fax|téléphone|telefon|teléfono|handy"),
@@ -99,17 +124,25 @@ class Finder:
         self.against = re.compile(rf"(?<!\w)(?:{AGAINST})(?!\w)", re.IGNORECASE)
         self.threshold, self.reach, self.boost, self.damp = threshold, reach, boost, damp
 
+    @staticmethod
+    def proposed(kind: Kind, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+        at = 0
+        while m := pattern.search(text, at):
+            if kind.within:
+                got = [(m.start() + s, m.start() + e) for s, e in kind.within(m.group())]
+                yield from got
+                # an IBAN may begin right behind another, or within a match that holds none from its start
+                at = m.end() if kind.within is cards else got[-1][1] if got else m.start() + 1
+            else:
+                yield m.span()
+                at = m.end()
+
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
         """(kind, start, end, score) in characters, by start."""
         found = []
         for kind, pattern, near in self.kinds:
-            for m in pattern.finditer(text):
-                s, e, value = m.start(), m.end(), m.group()
-                if kind.name == "iban":  # the pattern may run on into a next word
-                    while not iban(value) and (cut := max(value.rfind(" "), value.rfind("-"))) > 0:
-                        value = value[:cut]
-                    e = s + len(value)
-                if kind.valid and not kind.valid(value):
+            for s, e in self.proposed(kind, pattern, text):
+                if kind.valid and not kind.valid(text[s:e]):
                     continue
                 around = text[max(0, s - self.reach) : s], text[e : e + self.reach]
                 score = kind.score

@@ -260,6 +260,17 @@ def test_pii_spans_and_context():
     assert f.find("reach a@b.example.com") and [s for *_, s in f.find("test a@b.io")] == [0.65]
 
 
+def test_cards_and_ibans_beside_other_groups():
+    f = pii.Finder()
+    values = lambda t: [(k, t[a:b]) for k, a, b, _ in f.find(t)]
+    card, one, two = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for t in (f"{card} 12/27", "4111111111111111 123", "15 4111111111111111", f"no 7 {card} 9", f"1234 5678 9012 {card}", "x 99-4111-1111-1111-1111"):
+        assert [(k, v.replace(" ", "").replace("-", "")) for k, v in values(t)] == [("credit_card", "4111111111111111")], t
+    assert values(f"{card} 5500 0000 0000 0004") == [("credit_card", card), ("credit_card", "5500 0000 0000 0004")]
+    assert values(f"{one} {two}") == [("iban", one), ("iban", two)] and values(f"AB12 {one}") == [("iban", one)]
+    assert values("4111111111111112 123") == [] and values("DE89 3704 0044 0532 0130 02 AB") == []
+
+
 def test_pii_over_a_table(spark):
     rows = [*AWKWARD, (20, "z " * 50_000 + "q@example.org"), (21, "4111111111111111 " * 3)]
     got = Counter((r.doc_id, r.kind) for r in pii.spans(table(spark, rows)).collect())

@@ -2,8 +2,10 @@
 
 Texts are compared in folded form: ASCII case folded, every run of other bytes than ASCII
 letters, digits and multi-byte characters turned into one space.  A benchmark item is cut
-into overlapping passages of ``PASSAGE`` bytes (a shorter item is one passage).  A passage of
-length L may occur with ``e = floor(rate * L)`` edits (less where the lemma could say nothing).
+into overlapping passages of ``PASSAGE`` bytes every ``STRIDE`` (a shorter item is one passage).  A
+passage of length L may occur with ``e = floor(rate * L)`` edits (less where the lemma could say
+nothing).  So an unchanged excerpt of an item is found if it has PASSAGE + STRIDE - 1 - e = 74
+folded bytes, wherever it begins; a shorter one if it happens to hold all but e bytes of a passage.
 
 * Filter: a copy with at most e edits keeps ``T = L + 1 - q * (e + 1)`` of the passage's
   q-grams, all on diagonals (text position - passage position) at most e apart.  Diagonals
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _vec as V
 
-Q, RATE, PASSAGE, CHUNK_BYTES = 10, 0.08, 128, 32 << 20
+Q, RATE, PASSAGE, STRIDE, CHUNK_BYTES = 10, 0.08, 64, 16, 16 << 20
 _C = V.U64(0x9FB21C651E98DF25)
 _BITS = 21
 
@@ -71,14 +73,14 @@ class Index:
         return t
 
 
-def build(items: list[tuple[int, str | None]], q: int = Q, rate: float = RATE, passage: int = PASSAGE) -> Index | None:
+def build(items: list[tuple[int, str | None]], q: int = Q, rate: float = RATE, passage: int = PASSAGE, stride: int = STRIDE) -> Index | None:
     """Index of the passages.  Items without q folded bytes (null and empty ones too) are too
     short to be told from chance and are left out; None if nothing remains."""
     item, offset, text = [], [], []
     for i, t in sorted(((i, t) for i, t in items if i is not None and t), key=lambda x: (x[0], x[1])):
         raw = np.frombuffer(t.encode(), np.uint8)
         d = fold(raw, np.array([0, len(raw)]))[0].tobytes().rstrip(b" ")
-        starts = [0] if len(d) <= passage else [*range(0, len(d) - passage, passage // 2), len(d) - passage]
+        starts = [0] if len(d) <= passage else [*range(0, len(d) - passage, stride), len(d) - passage]
         for s in starts:
             if len(d[s : s + passage]) >= q:
                 item.append(i)

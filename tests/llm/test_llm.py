@@ -433,6 +433,19 @@ def test_decontamination_equals_brute_force(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.matches(table(spark, rows), bench, chunk_bytes=300).collect()} == want
 
 
+def test_excerpts_of_items_are_found(spark):
+    items = [(i, " ".join(prose(i + 50, 50))) for i in range(4)]
+    least = 74  # folded bytes; the docstring of the module says why
+    rows, r = [], random.Random(3)
+    for i, t in items:
+        for s in [*range(0, len(t) - least + 1, 5), len(t) - least]:
+            rows.append((len(rows) * 10 + i, f"{' '.join(prose(len(rows) + 700, 30))} | {t[s : s + least]} | {' '.join(prose(len(rows) + 900, r.randrange(30)))}"))
+    assert len(rows) > 100
+    rows += [(9, " ".join(prose(5000, 500)))]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.matches(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, d % 10) for d, _ in rows if d != 9}
+
+
 def test_decontamination_awkward(spark):
     bench = spark.createDataFrame([(None, "text without an id of any kind"), (1, None), (2, ""), (3, "ab")], "item_id long, text string")
     assert decontaminate.matches(table(spark, AWKWARD), bench).count() == 0

@@ -13,17 +13,25 @@ from .base import query, table
 _TRADE = "(SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey % 6 <> s_nationkey % 6 AND (c_nationkey + s_nationkey) % 3 = 0 AND c_nationkey <> 24)"
 
 
-def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+#: The same without a filter: every pair of nations that trade, a nation with itself too.
+_WHOLE = "(SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
+
+
+def whole_trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    e = lines.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).where("src % 6 <> dst % 6 AND (src + dst) % 3 = 0 AND src <> 24").distinct()
-    return t("nation").select(F.col("n_nationkey").alias("id")), e
+    return t("nation").select(F.col("n_nationkey").alias("id")), lines.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+
+
+def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v, e = whole_trade(spark, sf_dir)
+    return v, e.where("src % 6 <> dst % 6 AND (src + dst) % 3 = 0 AND src <> 24")
 
 
-def _rank_sql(rounds: int, spread: bool, scaled: bool) -> str:
+def _rank_sql(rounds: int, spread: bool, scaled: bool, edges: str = _TRADE) -> str:
     lost = "coalesce((SELECT sum(r.rank) FROM pr r WHERE r.id NOT IN (SELECT src FROM deg)), 0)" if spread else "0"
     value = "rank / max(rank) OVER ()" if scaled else "rank"
-    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_TRADE}), deg AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM nation),
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), deg AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM nation),
 pr AS (SELECT n_nationkey AS id, 1.0::DOUBLE / (SELECT n FROM n) AS rank, 0 AS i FROM nation
 UNION ALL
 SELECT v.n_nationkey, (0.15::DOUBLE / (SELECT n FROM n)) + 0.85::DOUBLE * (coalesce(g.s, 0) + {lost} / (SELECT n FROM n)), (SELECT max(i) FROM pr) + 1
@@ -51,6 +59,21 @@ def dependency_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.importers(trade(spark, sf_dir)[1], 3)
 
 
+@query("pagerank_symbols_whole", _rank_sql(20, True, False, _WHOLE))
+def pagerank_symbols_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(*whole_trade(spark, sf_dir), rounds=20).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("pagerank_files_whole", _rank_sql(30, False, True, _WHOLE))
+def pagerank_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.pagerank(*whole_trade(spark, sf_dir), rounds=30, spread_dangling=False, scale_to_max=True).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("scc_cycles_whole", f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {_WHOLE} WHERE src <> dst), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT min(dst) AS component, src AS member FROM (SELECT a.src, a.dst FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src) GROUP BY src HAVING count(DISTINCT dst) > 1")
+def scc_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(whole_trade(spark, sf_dir)[1]).select("component", F.explode("members").alias("member"))
+
+
 _HREFS = "(SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages)"
 
 

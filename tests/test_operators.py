@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import paths
 from tesserine.operators import changes, chunking, filters, graph, ranking, render, security, symbols, vectors
+from tesserine.plans import catalog, graph_queries
 
 
 def files(spark, rows):
@@ -172,3 +173,14 @@ def test_filters(spark):
 def test_similarity(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in vectors.most_similar(d.where("vec_id > 0"), d.where("vec_id = 0"), 2).collect()] == [(1, 1.0), (3, 0.70711)]
+
+
+def test_whole_trade_graph(spark, sf):
+    rows = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()]
+    customer, supplier, orders = (dict(rows(*a)) for a in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"), ("orders", "o_orderkey", "o_custkey")))
+    want = {(customer[orders[o]], supplier[s]) for o, s in rows("lineitem", "l_orderkey", "l_suppkey") if o in orders and orders[o] in customer and s in supplier}
+    ids, edges = graph_queries.whole_trade(spark, sf)
+    assert {tuple(r) for r in edges.collect()} == want and len(want) > graph_queries.trade(spark, sf)[1].count()
+    n = ids.count()
+    got = {r.id: r.rank for r in catalog.queries()["pagerank_symbols_whole"](spark, sf).collect()}
+    assert np.allclose([got[i] for i in range(n)], numpy_pagerank(n, sorted(want), 20, True), atol=1e-8)

@@ -98,6 +98,11 @@ def importers(edges: DataFrame, target) -> DataFrame:
     return edges.where(F.col("dst") == target).select("src").distinct()
 
 
+def all_importers(edges: DataFrame) -> DataFrame:
+    """(dst, src): the importers of every target."""
+    return edges.where("dst is not null and src is not null").select("dst", "src").distinct()
+
+
 def imported(edges: DataFrame, source) -> DataFrame:
     return edges.where(F.col("src") == source).select("dst").distinct()
 

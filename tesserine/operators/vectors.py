@@ -1,10 +1,14 @@
-"""Cosine similarity of vectors, in the JVM."""
+"""Cosine similarity of vectors: to one in the JVM, of all with all as products of blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK, SLICE = 4096, 256
+
 
 def cosine(a: Column, b: Column) -> Column:
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
@@ -18,3 +22,46 @@ def most_similar(vecs: DataFrame, one: DataFrame, k: int, id_col: str = "vec_id"
     q = one.select(F.col(col).alias("_q"))
     scored = vecs.crossJoin(F.broadcast(q)).select(id_col, F.round(cosine(F.col(col), F.col("_q")), 5).alias("score"))  # one: a single vector
     return scored.orderBy(F.desc("score"), id_col).limit(k)
+
+
+def _unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in order, unit vectors)."""
+    ids = t.column(0).to_numpy()
+    v = np.array(t.column(1).to_pylist(), np.float64)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], v[order] / np.linalg.norm(v[order], axis=1, keepdims=True)
+
+
+def all_most_similar(vecs: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(id, neighbour, score): the k vectors closest to each, by score rounded to 5 digits, ties by id.
+
+    Every row is a query.  Null ids, null, empty and zero vectors have no neighbours and are none; rows of
+    one id are one vector with the best of their scores.  Ids are cut into blocks, each pair
+    of which is a matrix product that keeps k neighbours a query; these are merged at the end.
+    """
+    rows = vecs.select(F.col(id_col).cast("long").alias("_id"), F.col(col).cast("array<double>").alias("_v")).where("_id is not null and exists(_v, x -> x <> 0)")
+    blocks = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = rows.select("_id", "_v", F.col("_own").alias("_a"), every.alias("_b"))
+    right = rows.select("_id", "_v", every.alias("_a"), F.col("_own").alias("_b"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        who, near, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            (ids, x), (others, y) = _unit(a), _unit(b)
+            base, first = np.unique(others, return_index=True)
+            for s in range(0, len(ids), SLICE):
+                own = ids[s : s + SLICE]
+                got = np.round(np.maximum.reduceat(x[s : s + SLICE] @ y.T, first, axis=1), 5)
+                got[own[:, None] == base] = -np.inf
+                top = np.argsort(-got, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(got, top, axis=1)
+                r, c = np.nonzero(np.isfinite(value))
+                who.append(own[r]), near.append(base[top[r, c]]), score.append(value[r, c])
+        return pa.table({"_id": np.concatenate(who), "_near": np.concatenate(near), "_score": np.concatenate(score)})
+
+    pairs = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(best, "_id long, _near long, _score double")
+    pairs = pairs.groupBy("_id", "_near").agg(F.max("_score").alias("_score"))
+    order = Window.partitionBy("_id").orderBy(F.desc("_score"), "_near")
+    return pairs.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).select(F.col("_id").alias(id_col), F.col("_near").alias("neighbour"), F.col("_score").alias("score"))

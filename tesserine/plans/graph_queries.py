@@ -74,6 +74,11 @@ def scc_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(whole_trade(spark, sf_dir)[1]).select("component", F.explode("members").alias("member"))
 
 
+@query("dependency_importers_whole", f"SELECT DISTINCT dst, src FROM {_WHOLE} WHERE dst IS NOT NULL AND src IS NOT NULL")
+def dependency_importers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.all_importers(whole_trade(spark, sf_dir)[1])
+
+
 _HREFS = "(SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages)"
 
 
@@ -111,3 +116,8 @@ def dependency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return vectors.most_similar(e.where("vec_id <> 0"), e.where("vec_id = 0"), 10)
+
+
+@query("embedding_topk_whole", "SELECT vec_id, neighbour, score FROM (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour) <= 10")
+def embedding_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.all_most_similar(table(spark, sf_dir, "embeddings"), 10)

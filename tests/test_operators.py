@@ -184,3 +184,26 @@ def test_whole_trade_graph(spark, sf):
     n = ids.count()
     got = {r.id: r.rank for r in catalog.queries()["pagerank_symbols_whole"](spark, sf).collect()}
     assert np.allclose([got[i] for i in range(n)], numpy_pagerank(n, sorted(want), 20, True), atol=1e-8)
+
+
+def test_neighbours_of_every_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 40)] + [(7, rng.normal(size=6).tolist()), (50, [0.0] * 6), (51, None), (None, [1.0] * 6), (52, [])]
+    rows += [(60 + i, rows[3][1]) for i in range(4)]  # ties
+    best: dict = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i is not None and j is not None and i != j and a and b and any(a) and any(b):
+                score = round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 5)
+                best.setdefault(i, {})[j] = max(score, best.get(i, {}).get(j, -2))
+    want = {(i, j) for i, near in best.items() for j, _ in sorted(near.items(), key=lambda x: (-x[1], x[0]))[:5]}
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (4096, 9):
+        got = vectors.all_most_similar(d, 5, block=block).collect()
+        assert {(r.vec_id, r.neighbour) for r in got} == want and len(got) == len(want) == 5 * len(best)
+    assert vectors.all_most_similar(d.limit(0), 5).count() == 0
+
+
+def test_importers_of_every_target(spark):
+    e = spark.createDataFrame([(1, 2), (1, 2), (3, 2), (2, 4), (5, None)], "src long, dst long")
+    assert sorted(map(tuple, graph.all_importers(e).collect())) == [(2, 1), (2, 3), (4, 2)]

@@ -74,6 +74,11 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.split("text", " ")[0]).alias("redacted"))
 
 
+@query("redact_whole", f"SELECT doc_id, CASE WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE substring(v, 1, {_KEEP}) || repeat('*', length(v) - 2 * {_KEEP}) || substring(v, length(v) - {_KEEP} + 1, {_KEEP}) END AS redacted FROM (SELECT doc_id, text AS v FROM documents)")
+def redact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+
+
 @query("xml_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
 def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.xml_escape(F.col("html")).alias("escaped"))

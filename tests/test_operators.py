@@ -207,3 +207,15 @@ def test_neighbours_of_every_vector(spark):
 def test_importers_of_every_target(spark):
     e = spark.createDataFrame([(1, 2), (1, 2), (3, 2), (2, 4), (5, None)], "src long, dst long")
     assert sorted(map(tuple, graph.all_importers(e).collect())) == [(2, 1), (2, 3), (4, 2)]
+
+
+def test_whole_texts_are_redacted(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.redacted for r in catalog.queries()["redact_whole"](spark, sf).collect()}
+    assert got.keys() == docs.keys() and any(" " in (t or "") for t in docs.values())
+    for i, t in docs.items():
+        if t is None:
+            assert got[i] is None
+        else:
+            keep = min(4, len(t) // 4) if len(t) > 8 else 0
+            assert got[i] == t[:keep] + "*" * (len(t) - 2 * keep) + t[len(t) - keep :]

@@ -13,10 +13,11 @@ line number) has a Jaccard similarity of at least ``threshold`` with it.
    collapse within a task first, so a line that is everywhere reaches its buckets once a task.
 3. Filters.  In a bucket, equal sets give removals at once.  Others must pass the length
    filter, the positional filter (tokens left after the shared one) and a bound on the symmetric
-   difference from bitmaps (each unlike token flips one bit); all three are exact.
+   difference from bitmaps of 128 bits (each unlike token flips one bit); all three are exact.
 4. Verification.  A line needs one proof, so its likeliest partner (nearest by the bitmaps,
-   then the earliest) is tried first and the others only if that fails.  Both lines of a pair
-   are fetched from the texts and the Jaccard index of their sets computed.
+   then the earliest) is tried first and the others only if that fails.  The lines of all
+   pairs are fetched from the texts once, as token sets, and the Jaccard index of both computed;
+   texts themselves never move.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ THRESHOLD = Fraction(4, 5)
 CELLS, SLICES = 1 << 22, 64
 POSTINGS_PER_BUCKET, FLUSH = 700_000, 1_000_000
 _ONCE = 8  # level of a cell that counted one line
-_MARKS = 1 << 23
+MOST_MARKS = 27  # log2 of the bits of the bitmap of wanted lines: 16 MB at most
 
 
 def line_sets(col):
@@ -118,8 +119,10 @@ def prefixes(ids: np.ndarray, col, levels: np.ndarray, t: Fraction) -> dict[str,
         level = levels[cell(tokens)]
         mixed = V.mix(tokens ^ V.U64(0x5851F42D4C957F2D))
         sets = np.add.reduceat(mixed, first[:-1])
-        bits = np.bitwise_xor.reduceat(V.U64(1) << (mixed >> V.U64(58)), first[:-1])  # unlike tokens of two sets flip one bit each
-        more = np.bitwise_xor.reduceat(V.U64(1) << ((mixed >> V.U64(52)) & V.U64(63)), first[:-1])
+        # a bitmap of 128 bits in two words: each unlike token of two sets flips one bit of one of them
+        flip, high = V.U64(1) << (mixed >> V.U64(58)), (mixed >> V.U64(57)) & V.U64(1)
+        bits = np.bitwise_xor.reduceat(flip * (V.U64(1) - high), first[:-1])
+        more = np.bitwise_xor.reduceat(flip * high, first[:-1])
         order = np.lexsort((tokens, level, owner))
         pos = np.arange(len(tokens)) - first[owner]
         length = size - (t.numerator * size + t.denominator - 1) // t.denominator + 1
@@ -138,7 +141,8 @@ def _collapse(p: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarr
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = (p["token"][1:] != p["token"][:-1]) | (p["set"][1:] != p["set"][:-1]) | (p["size"][1:] != p["size"][:-1])
     head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    gone = ~fresh & ((p["doc"] != p["doc"][head]) | (p["line"] != p["line"][head]))
+    # equal sets share all postings: told once, where they share the first one
+    gone = ~fresh & (p["pos"] == 0) & ((p["doc"] != p["doc"][head]) | (p["line"] != p["line"][head]))
     pairs = np.unique(np.stack([p["doc"][gone], p["line"][gone].astype(np.int64)]), axis=1) if gone.any() else np.zeros((2, 0), np.int64)
     return {k: v[fresh] for k, v in p.items()}, pairs[0], pairs[1]
 
@@ -189,7 +193,7 @@ def candidates(p: dict[str, np.ndarray], t: Fraction, limit: int = 1 << 19):
         most = 1 + np.minimum(p["size"][a] - p["pos"][a], p["size"][b] - p["pos"][b]) - 1
         ok = np.flatnonzero(most >= need)
         a, b, both, need = a[ok], b[ok], both[ok], need[ok]
-        apart = np.maximum(_popcount(p["bits"][a] ^ p["bits"][b]), _popcount(p["more"][a] ^ p["more"][b]))
+        apart = _popcount(p["bits"][a] ^ p["bits"][b]) + _popcount(p["more"][a] ^ p["more"][b])
         ok = (apart <= both - 2 * need) & ((p["set"][a] != p["set"][b]) | (p["size"][a] != p["size"][b]))
         yield a[ok], b[ok], (1000 * apart[ok] // both[ok]).astype(np.int32)
         lo = hi
@@ -202,8 +206,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are runs of ASCII letters and digits and of non-ASCII characters, ASCII case folded.
     Lines without a word (blank ones, rules) match nothing.  Null texts have no lines.  Rows
     with a null id can't be ordered and are left alone.  Rows that repeat an id are one
-    document, a line of it never matching itself; should their texts differ, the least text
-    of a line stands for it in verification.  Lines and texts of any length are used
+    document, a line of it never matching itself; should their texts differ, the least token
+    set of a line (as packed hashes) stands for it in verification.  Lines and texts of any length are used
     whole; an empty table gives no rows; other columns are never looked at.
     """
     spark = docs.sparkSession
@@ -263,90 +267,82 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = met.where("odoc is null").select("doc", "line")
     # a line known to go needs no further proof, and one proof is enough: the likeliest partner is tried first
     pairs = cut(met.where("odoc is not null").join(gone, ["doc", "line"], "left_anti"), "pairs")
+    lines = cut(_wanted(rows, pairs), "lines")
     best = cut(pairs.groupBy("doc", "line").agg(F.min(F.struct("apart", "odoc", "oline")).alias("b")).select("doc", "line", "b.odoc", "b.oline"), "best")
-    first = cut(_proven(rows, best, t), "proven")
+    first = cut(_proven(best, lines, t), "proven")
     open_ = best.join(first, ["doc", "line"], "left_anti").select("doc", "line", F.col("odoc").alias("tdoc"), F.col("oline").alias("tline"))
-    rest = cut(pairs.join(open_, ["doc", "line"]).where("odoc <> tdoc or oline <> tline").select("doc", "line", "odoc", "oline"), "rest")
-    every = gone.unionAll(first).unionAll(_proven(rows, rest, t))
+    rest = pairs.join(open_, ["doc", "line"]).where("odoc <> tdoc or oline <> tline").select("doc", "line", "odoc", "oline")
+    every = gone.unionAll(first).unionAll(_proven(rest, lines, t))
     out = cut(every.distinct().select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line_no")), "removed")
-    for x in (met, pairs, best, first, rest):
+    for x in (met, pairs, lines, best, first):
         drop(x)
     return out
 
 
-def _holding(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows whose id may be one of ``docs``: all that are, and others by chance.  The marks are a
-    bitmap of fixed size, so that most texts that aren't asked for stay out of a shuffle."""
-    at = F.pmod(F.xxhash64("doc"), F.lit(_MARKS))
-    marks = docs.select(F.floor(at / 32768).cast("int").alias("_slot"), (at % 32768).alias("_bit")).groupBy("_slot").agg(F.expr("bitmap_construct_agg(_bit)").alias("_marks"))
-    own = F.pmod(F.xxhash64("_id"), F.lit(_MARKS))
-    byte = F.conv(F.hex(F.substring("_marks", F.floor(own % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = rows.withColumn("_at", F.floor(own / 32768).cast("int")).join(F.broadcast(marks), F.col("_at") == F.col("_slot"))  # 256 bitmaps of 4 kB
-    bit = F.pow(F.lit(2), own % 8).cast("int")
-    return held.where(byte.bitwiseAND(bit) != 0).select("_id", "_text")
+def _spot(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    """Place of a line in a bitmap of 2**bits."""
+    return (V.mix(V.mix(doc.astype(np.uint64)) + line.astype(np.uint64)) >> V.U64(64 - bits)).astype(np.int64)
 
 
-def _proven(rows: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
-    """(doc, line) of the lines that have a Jaccard index at or above the threshold with one of their partners.
+def _wanted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, line, tokens) of the lines in ``pairs``: the sorted tokens of each as packed hashes.
 
-    The text of a line goes once to its own place, and once to that of each line it is compared with.
+    The wanted lines are marked in a bitmap that every task gets (16 bits a line, of
+    ``MOST_MARKS`` at most), so that of a text only these lines, and a few others by chance,
+    leave the task that reads it.
     """
-    spot = "struct<line:int,doc:bigint,home:int,odoc:bigint,oline:int>"
-    mine = pairs.select("doc", "line").distinct().select(F.col("doc").alias("at"), F.struct("line", "doc", F.col("line").alias("home"), F.lit(None).cast("long").alias("odoc"), F.lit(None).cast("int").alias("oline")).cast(spot).alias("w"))
-    theirs = pairs.select(F.col("odoc").alias("at"), F.struct(F.col("oline").alias("line"), "doc", F.col("line").alias("home"), "odoc", "oline").cast(spot).alias("w"))
-    lists = mine.unionAll(theirs).groupBy(F.col("at").alias("_doc")).agg(F.collect_list("w").alias("_want"))
+    bits = int(np.clip(np.ceil(np.log2(32 * (pairs.count() + 1))), 15, MOST_MARKS))
+
+    def spots(batches):
+        for b in batches:
+            for doc, line in ((0, 1), (2, 3)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_spot(np.asarray(b.column(doc)), np.asarray(b.column(line)), bits)))], ["at"])
+
+    at = pairs.select("doc", "line", "odoc", "oline").mapInArrow(spots, "at long")
+    marks = np.zeros(1 << (bits - 3), np.uint8)
+    for r in at.groupBy(F.floor(F.col("at") / 32768).cast("int").alias("slot")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("marks")).toLocalIterator():
+        marks[r.slot * 4096 : r.slot * 4096 + 4096] = np.frombuffer(r.marks, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(marks)
 
     def fetch(batches):
         for b in batches:
-            data, off = V.buffers(b.column(0))
-            want = b.column(1)
-            w = want.flatten()
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(want.offsets)))
-            line = np.asarray(w.field("line")).astype(np.int64)
-            ends = np.flatnonzero(data[off[0] : off[-1]] == 10) + off[0]
-            at = np.searchsorted(ends, off[row]) + line  # the line feed that ends it, if the text has it
-            stop = np.minimum(np.r_[ends, off[-1]][np.minimum(at, len(ends))], off[row + 1])
-            before = np.r_[0, ends + 1][np.minimum(at, len(ends))]
-            start = np.minimum(np.where(line == 0, off[row], before), stop)
-            text = [data[x:y].tobytes() for x, y in zip(start.tolist(), stop.tolist())]
-            yield pa.RecordBatch.from_arrays([w.field("doc"), w.field("home"), w.field("odoc"), w.field("oline"), pa.array(text, pa.binary())], ["doc", "line", "odoc", "oline", "words"])
-
-    held = _holding(rows, pairs.select("doc").unionAll(pairs.select(F.col("odoc").alias("doc"))))
-    lines = held.join(lists, F.col("_id") == F.col("_doc")).select("_text", "_want").mapInArrow(fetch, "doc long, line int, odoc long, oline int, words binary")
-    sides = lines.groupBy("doc", "line").agg(F.min(F.when(F.col("odoc").isNull(), F.col("words"))).alias("y"), F.collect_list(F.when(F.col("odoc").isNotNull(), F.col("words"))).alias("x"))
+            ids, table = np.asarray(b.column(0)), sent.value
+            for row, line, first, tokens in line_sets(b.column(1)):
+                at = _spot(ids[row], line, bits)
+                own = np.flatnonzero((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                if len(own):
+                    size = np.diff(first)[own]
+                    take = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    packed = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.r_[0, 8 * np.cumsum(size)].astype(np.int32)), pa.py_buffer(tokens[take].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[own]]), pa.array(line[own].astype(np.int32)), packed], ["doc", "line", "tokens"])
+
+    return rows.mapInArrow(fetch, "doc long, line int, tokens binary").groupBy("doc", "line").agg(F.min("tokens").alias("tokens"))
+
+
+def _proven(pairs: DataFrame, lines: DataFrame, t: Fraction) -> DataFrame:
+    """(doc, line) of the lines that have a Jaccard index at or above the threshold with one of their partners."""
+    theirs = lines.select(F.col("doc").alias("odoc"), F.col("line").alias("oline"), F.col("tokens").alias("other"))
+    sides = pairs.join(theirs, ["odoc", "oline"]).select("doc", "line", "other").join(lines, ["doc", "line"])
 
     def judge(batches):
         for b in batches:
-            x = b.column(3)
-            who = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(x.offsets)))
-            own, other = _sets(b.column(2)), _sets(x.flatten())
+            own, other = (V.buffers(b.column(b.schema.get_field_index(c))) for c in ("tokens", "other"))
+            many = [np.diff(off) // 8 for _, off in (own, other)]
             keep = np.zeros(b.num_rows, bool)
-            for lo, hi in V.slices(np.r_[0, np.cumsum(own[1][who] + other[1])], 1 << 20):  # partners, by tokens on both sides
-                pair = np.repeat(np.arange(lo, hi), own[1][who[lo:hi]])
-                at = np.arange(len(pair)) - np.repeat(np.cumsum(own[1][who[lo:hi]]) - own[1][who[lo:hi]], own[1][who[lo:hi]]) + own[2][who[pair]]
-                theirs = slice(int(other[2][lo]), int(other[2][hi - 1] + other[1][hi - 1]))
-                owner = np.concatenate([pair, np.repeat(np.arange(lo, hi), other[1][lo:hi])]) - lo
-                token = np.concatenate([own[0][at], other[0][theirs]])
-                order = np.lexsort((token, owner))
-                owner, token = owner[order], token[order]
-                twice = (owner[1:] == owner[:-1]) & (token[1:] == token[:-1])
+            for lo, hi in V.slices(np.r_[0, np.cumsum(many[0] + many[1])], 1 << 20):
+                sets = [np.frombuffer(data[off[lo] : off[hi]].tobytes(), np.uint64) for data, off in (own, other)]
+                owner = np.concatenate([np.repeat(np.arange(hi - lo), n[lo:hi]) for n in many])
+                key = np.concatenate(sets) + V.mix(owner.astype(np.uint64))  # equal for equal tokens of one pair
+                order = np.argsort(key)
+                key, owner = key[order], owner[order]
+                twice = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
                 common = np.bincount(owner[1:][twice], minlength=hi - lo)
-                ok = (common > 0) & (t.denominator * common >= t.numerator * (own[1][who[lo:hi]] + other[1][lo:hi] - common))
-                keep[who[lo:hi][ok]] = True
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc", "line"]).filter(pa.array(keep))
+                keep[lo:hi] = t.denominator * common >= t.numerator * (many[0][lo:hi] + many[1][lo:hi] - common)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in ("doc", "line")], ["doc", "line"]).filter(pa.array(keep))
 
     return sides.mapInArrow(judge, "doc long, line int")
 
 
-def _sets(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a column of single lines, how many each has, and where they begin."""
-    many, token = np.zeros(len(col), np.int64), []
-    for row, _, first, tokens in line_sets(col):
-        many[row] = np.diff(first)
-        token.append(tokens)
-    return np.concatenate(token or [np.zeros(0, np.uint64)]), many, np.cumsum(many) - many
-
-
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length_col: str | None = None, threshold: Fraction = THRESHOLD) -> DataFrame:
     """``docs`` with the removed lines taken out of the text.
 
@@ -357,7 +353,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     gone = removed_lines(docs, id_col, text_col, threshold=threshold)
     lists = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(docs.columns)})  # no name can clash
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # by place: no name can clash
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     joined = rows.join(lists, F.col(place[id_col]).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
     text, types = joined.columns.index(place[text_col]), joined.drop("_gone").schema
@@ -380,5 +376,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 cols[length] = pa.array(n, cols[length].type)
             yield pa.RecordBatch.from_arrays(cols[:width], names=b.schema.names[:width]).filter(pa.array(keep))
 
-    done = joined.mapInArrow(run, types)
-    return done.withColumnsRenamed({v: k for k, v in place.items()})
+    return joined.mapInArrow(run, types).toDF(*docs.columns)

@@ -33,7 +33,7 @@ DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text"
 def table(spark, rows):
     """documents of (id, text), with extra columns whose names are used inside the operators."""
     d = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], DOCS)
-    for c in ("_id", "_text", "_gone", "line", "doc", "bucket", "sig", "a", "b", "key", "node", "root", "_n", "_want", "tokens"):
+    for c in ("_id", "_text", "_gone", "line", "doc", "bucket", "sig", "a", "b", "key", "node", "root", "_n", "_want", "tokens", "c0", "c1", "c2"):
         d = d.selectExpr("*", f"'x' as {c}")
     return d
 

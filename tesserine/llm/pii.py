@@ -105,10 +105,11 @@ class Kind:
     valid: Callable[[str], bool] | None
     near: str
     within: Callable[[str], Iterator[tuple[int, int]]] | None = None  # the valid spans in a match; else the match itself
+    sign: str = r"\d"  # what every match of the pattern holds: a text without it isn't searched for this kind
 
 
 KINDS: tuple[Kind, ...] = (
-    Kind("email", r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])", 0.9, email, "e-?mail|mail|contact|courriel|correo|kontakt"),
+    Kind("email", r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])", 0.9, email, "e-?mail|mail|contact|courriel|correo|kontakt", sign="@"),
     Kind("credit_card", r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-]|\.\d)", 0.7, luhn, "card|visa|mastercard|amex|credit|carte|tarjeta|karte|kreditkarte", cards),
     Kind("iban", r"(?<!\w)[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{1,4}){3,8}(?!\w)", 0.8, iban, "iban|bank|account|konto|compte|cuenta|bic|swift", ibans),
     Kind("ip_address", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", 0.6, ipv4, "ip|host|server|address|adresse|dirección"),
@@ -140,7 +141,10 @@ class Finder:
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
         """(kind, start, end, score) in characters, by start."""
         found = []
+        signs = {sign: re.search(sign, text) is not None for sign in {k.sign for k, _, _ in self.kinds}}
         for kind, pattern, near in self.kinds:
+            if not signs[kind.sign]:
+                continue
             for s, e in self.proposed(kind, pattern, text):
                 if kind.valid and not kind.valid(text[s:e]):
                     continue
@@ -164,12 +168,13 @@ class Finder:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(doc_id, kind, start, end, score, value) of every confirmed span, in characters from 0.
 
+    Ids are integers.  Digits are those of any script, in the patterns and everywhere else.
     Null and empty texts have none; a null id is reported as null; repeated rows are reported
     repeatedly; ties between overlapping spans go by length, then place, then name of the
     kind; texts are searched whole; an empty table gives no rows; other columns are never
     looked at.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("_text")).where(F.col("_text").rlike("[@0-9]"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("_text")).where(F.col("_text").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(**settings)

@@ -130,7 +130,8 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, th
     same = sigs.groupBy(F.xxhash64("sig").alias("h1"), F.hash("sig").alias("h2")).agg(F.min("_id").alias("rep"))
     tagged = sigs.select("_id", F.xxhash64("sig").alias("g1"), F.hash("sig").alias("g2")).join(same, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")))
     exact = tagged.where("_id <> rep").select(F.col("rep").alias("a"), F.col("_id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
-    reps = cut(sigs.join(same.select(F.col("rep").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]), "representatives")
+    lead = same.select(F.col("rep").alias("_id"), "h1", "h2")  # an id may stand for several signatures, if its rows have several texts
+    reps = cut(sigs.select("_id", "sig", F.xxhash64("sig").alias("h1"), F.hash("sig").alias("h2")).join(lead, ["_id", "h1", "h2"], "left_semi").dropDuplicates(["_id", "h1", "h2"]).select("_id", "sig"), "representatives")
     keyed = _buckets(reps, bands, rows, centres)
     best = keyed.groupBy("key").agg(F.min(F.struct("rank", "_id")).alias("c"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), F.col("c._id").alias("centre"))
     star = keyed.join(best, F.col("key") == F.col("k")).where("_id <> centre").select(F.least("_id", "centre").alias("a"), F.greatest("_id", "centre").alias("b")).distinct()
@@ -145,8 +146,8 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, th
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(doc_id, duplicate_of): every document that is a near copy, with the least id of its group.
 
-    Null, empty and word-free texts are in no group; rows with a null id are in none.  Rows
-    that repeat an id are one document.  A group is the transitive closure of verified edges,
+    Ids are integers.  Null, empty and word-free texts are in no group; rows with a null id are in
+    none.  Rows that repeat an id are one document, linked to all that any of its texts is near.  A group is the transitive closure of verified edges,
     its survivor the least id, so ties can't arise.  Long texts are used whole.  An empty
     table gives no rows; other columns are never looked at.
     """
@@ -156,6 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` without the near copies; all columns and all other rows (null ids too) stay."""
+    """``docs`` without the near copies; all columns, under whatever names, and all other rows (null ids,
+    null and empty texts) stay.  Of an id that repeats all rows stay or go."""
     gone = near_duplicates(docs, id_col, text_col, **settings).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")

@@ -2,8 +2,8 @@
 
 Documents go to the smallest context tier that holds them; those longer than the largest are
 cut into pieces of it.  Only ids and lengths move: packing is done in shards of about
-``shard_tokens`` tokens, documents being spread by a hash of the id.  In a shard, tiers are
-packed from the longest down:
+``shard_tokens`` tokens, pieces being spread by a hash, equal pieces one by one over all shards.
+In a shard, tiers are packed from the longest down:
 
 * best-fit decreasing into windows of the tier's size;
 * gaps of the long windows are filled with the longest pieces of the shorter tiers that fit;
@@ -108,9 +108,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
     """One row a window: shard, capacity, step, window, tokens, and the lists doc_ids, starts and
     lengths (in tokens) of its pieces in order.
 
-    ``tokens`` gives each document's length (bytes / 4 where none is given).  Null and empty
-    texts have no tokens and are in no window.  A null id is packed and listed as null.
-    Repeated rows are packed each for itself.  Ties are broken by id and start.  An empty
+    ``tokens`` gives each document's length (bytes / 4 where none is given).  Ids are integers.  Null
+    and empty texts have no tokens and are in no window.  A null id is packed and listed as null.
+    Repeated rows are packed each for itself, spread over the shards.  Ties are broken by id and start.  An empty
     table gives no rows; other columns are never looked at.
     """
     tiers = tuple(sorted(tiers))
@@ -120,11 +120,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
     shards = max(1, -(-total // shard_tokens))
     top = F.lit(tiers[-1]).cast("long")
     pieces = sized.select("_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / top).cast("long"))).alias("_p"))
-    pieces = pieces.select(F.pmod(F.xxhash64("_id", "_n", "_p"), F.lit(shards)).cast("int").alias("shard"), "_id", (F.col("_p") * top).alias("_start"), F.least(top, F.col("_n") - F.col("_p") * top).alias("_tokens"))
+    # rows that nothing tells apart (repeated ones, null ids of one length) are counted before they move, and dealt evenly to the shards
+    alike = pieces.groupBy("_id", "_n", "_p").agg(F.count("*").alias("_c"))
+    spread = alike.select("*", F.least("_c", F.lit(shards).cast("long")).alias("_m")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_k"))
+    pieces = spread.select(
+        F.pmod(F.xxhash64("_id", "_n", "_p") + F.col("_k"), F.lit(shards)).cast("int").alias("shard"), "_id", (F.col("_p") * top).alias("_start"), F.least(top, F.col("_n") - F.col("_p") * top).alias("_tokens"),
+        (F.floor(F.col("_c") / F.col("_m")) + F.when(F.col("_k") < F.col("_c") % F.col("_m"), 1).otherwise(0)).cast("long").alias("_copies"),
+    )
     schema = "shard int, capacity int, step int, window int, tokens long, doc_ids array<long>, starts array<long>, lengths array<long>"
 
     def run(key, table):
-        got = pack_shard(list(zip(table["_tokens"].to_pylist(), table["_id"].to_pylist(), table["_start"].to_pylist())), tiers, step_tokens)
+        rows = zip(table["_tokens"].to_pylist(), table["_id"].to_pylist(), table["_start"].to_pylist(), table["_copies"].to_pylist())
+        got = pack_shard([p[:3] for p in rows for _ in range(p[3])], tiers, step_tokens)
         n, big = len(got), pa.list_(pa.int64())
         return pa.Table.from_arrays(
             [

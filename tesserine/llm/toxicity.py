@@ -3,9 +3,11 @@
 Fit on labelled texts, on a sample bounded by ``max_rows`` (the only bound here; scoring
 covers every text whole).  A text is the set of its words and of their 4-, 5- and 6-byte
 beginnings, so inflected forms of a stem count as evidence too.  For each labelled text that
-names a group of people, a counterfactual copy swaps the name for another of its family;
-the loss adds ``swap_penalty * (logit(text) - logit(copy))**2``, which takes the weight off
-names that merely occur together with abuse.  Weights of all other features are kept at or
+names a group of people, a counterfactual copy swaps the name for another of its family; a
+labelled text that names none is paired with itself, a name put into one copy and another of its
+family into the other (families and names in turn, by the hash of the id).  The loss adds
+``swap_penalty * (logit(text) - logit(copy))**2``, which takes the weight off names, and
+off beginnings that they share with other words, that merely occur together with abuse.  Weights of all other features are kept at or
 above zero under an L1 penalty: clean padding can't hide abuse, and length alone adds
 nothing.
 """
@@ -48,6 +50,7 @@ class Model:
     weights: np.ndarray
     bias: float
     threshold: float
+    pairs: int = 0  # counterfactual pairs of the fit
 
     def filter_table(self) -> np.ndarray:
         t = np.zeros(1 << 20, dtype=bool)
@@ -88,8 +91,9 @@ def swapper(families=IDENTITY_TERMS):
     return swap
 
 
-def fit(examples: list[tuple[int, np.ndarray, np.ndarray | None]], *, swap_penalty: float = 2.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 400, families=IDENTITY_TERMS, threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS, keep: int = KEEP_FEATURES) -> Model | None:
-    """examples: (toxic, features, features of the counterfactual or None).  None if a class is missing."""
+def fit(examples: list[tuple[int, np.ndarray, np.ndarray | tuple[np.ndarray, np.ndarray] | None]], *, swap_penalty: float = 2.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 400, families=IDENTITY_TERMS, threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS, keep: int = KEEP_FEATURES) -> Model | None:
+    """examples: (toxic, features, counterfactual).  The counterfactual is the features of the copy, or
+    what each copy has beyond the other, or None.  No model (None) if a class is missing."""
     y = np.array([e[0] for e in examples], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
@@ -113,9 +117,9 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray | None]], *, swap_penal
     best = np.sort(np.argsort(-chi, kind="stable")[:keep])
     ids, free = ids[best], np.isin(ids[best], named)
     r, c = rows([e[1] for e in examples])
-    pair = [e for e in examples if e[2] is not None]
-    ra, ca = rows([e[1] for e in pair])
-    rb, cb = rows([e[2] for e in pair])
+    pair = [e[2] if isinstance(e[2], tuple) else (e[1], e[2]) for e in examples if e[2] is not None]
+    ra, ca = rows([p[0] for p in pair])
+    rb, cb = rows([p[1] for p in pair])
     m, k = len(y), len(ids)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(m - y.sum(), 1))
     w, b = np.zeros(k), 0.0
@@ -126,7 +130,7 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray | None]], *, swap_penal
         g, gb = np.bincount(c, weights=e[r], minlength=k) + l2 * w, e.sum()
         if pair:
             d = np.bincount(ra, weights=w[ca], minlength=len(pair)) - np.bincount(rb, weights=w[cb], minlength=len(pair))
-            d *= 2 * swap_penalty / len(pair)
+            d = d * (2 * swap_penalty / len(pair))
             g += np.bincount(ca, weights=d[ra], minlength=k) - np.bincount(cb, weights=d[rb], minlength=k)
         g2 += g * g
         gb2 += gb * gb
@@ -135,13 +139,14 @@ def fit(examples: list[tuple[int, np.ndarray, np.ndarray | None]], *, swap_penal
         w = np.where(free, w, np.maximum(0, w - step * l1))
         b -= 0.5 / np.sqrt(gb2) * gb
     used = w != 0
-    return Model(ids[used], w[used], float(b), threshold)
+    return Model(ids[used], w[used], float(b), threshold, len(pair))
 
 
 def scores(model: Model, col) -> np.ndarray:
-    """Probability of toxicity of every row of a text column."""
-    table, z = model.filter_table(), np.full(len(col), model.bias)
+    """Probability of toxicity of every row of a text column; none where a text has no word."""
+    table, z = model.filter_table(), np.full(len(col), -30.0)
     for w in V.words(col):
+        z[w.lo + np.unique(w.row)] = model.bias
         hs, rs = [], []
         for h, r in _pieces(w):
             near = np.flatnonzero(table[(h >> V.U64(44)).astype(np.int64)])
@@ -159,8 +164,9 @@ def scores(model: Model, col) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_rows: int = MAX_ROWS, families=IDENTITY_TERMS, **settings) -> Model | None:
     """Fit on at most ``max_rows`` labelled texts, those of least hashed id.
 
-    Rows with a null id, null text or null label are not learnt from; an id labelled twice
-    counts as toxic if either row says so.  Without both classes there is no model.
+    Ids are integers.  Rows with a null id, null text or null label are not learnt from; an id labelled
+    twice counts as toxic if either row says so.  At most ``KEEP_FEATURES`` features, those that tell the
+    classes apart best, of at least ``MIN_TEXTS`` labelled texts each, are fit.  Without both classes there is no model.
     """
     known = labels.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     known = known.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
@@ -169,33 +175,44 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.join(F.broadcast(sample), "_id").select("_id", "_toxic", "_text")  # at most max_rows rows of two numbers
 
     def run(batches):
-        swap = swapper(families)
+        swap = swapper(families) if families else (lambda text: None)
+        names = [[np.unique(np.concatenate([h for _, _, h, _ in features(pa.array([t]))])) for t in f] for f in families]
         for b in batches:
             sets: list[bytes] = [b""] * b.num_rows
             for lo, hi, h, r in features(b.column(2)):
                 for i, part in enumerate(np.split(h, np.searchsorted(r, np.arange(1, hi - lo)))):
                     sets[lo + i] = part.tobytes()
             twins = [swap(t) for t in b.column(2).to_pylist()]
-            other: list[bytes | None] = [None] * b.num_rows
+            turn = V.mix(np.asarray(b.column(0)).astype(np.uint64))
+            gap: list[tuple[np.ndarray, np.ndarray]] = []
             at = [i for i, t in enumerate(twins) if t is not None]
-            for lo, hi, h, r in features(pa.array([twins[i] for i in at], pa.string())):
-                for i, part in enumerate(np.split(h, np.searchsorted(r, np.arange(1, hi - lo)))):
-                    other[at[lo + i]] = part.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), pa.array(other, pa.binary())], ["_id", "toxic", "own", "twin"])
-
-    got = rows.mapInArrow(run, "_id long, toxic int, own binary, twin binary").toArrow()
+            other = dict(zip(at, (part for lo, hi, h, r in features(pa.array([twins[i] for i in at], pa.string())) for part in np.split(h, np.searchsorted(r, np.arange(1, hi - lo))))))
+            for i in range(b.num_rows):
+                own = np.frombuffer(sets[i], np.uint64)
+                if i in other:
+                    gap.append((np.setdiff1d(own, other[i]), np.setdiff1d(other[i], own)))
+                elif names:
+                    family = names[int(turn[i] % V.U64(len(names)))]
+                    k = int((turn[i] >> V.U64(32)) % V.U64(len(family)))
+                    gap.append(tuple(np.setdiff1d(np.setdiff1d(family[x], own), family[y]) for x, y in ((k, (k + 1) % len(family)), ((k + 1) % len(family), k))))
+                else:
+                    gap.append((own[:0], own[:0]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())] + [pa.array([g[k].tobytes() for g in gap], pa.binary()) for k in (0, 1)], ["_id", "toxic", "own", "plus", "minus"])
+
+    got = rows.mapInArrow(run, "_id long, toxic int, own binary, plus binary, minus binary").toArrow()
     seen: dict[bytes, tuple] = {}
     order = np.argsort(got["_id"].to_numpy(), kind="stable")
     for i in order:
-        own, twin = got["own"][int(i)].as_py(), got["twin"][int(i)].as_py()
-        toxic = got["toxic"][int(i)].as_py()
-        seen.setdefault(own, (int(toxic > 0), np.frombuffer(own, np.uint64), None if twin is None else np.frombuffer(twin, np.uint64)))
+        own, plus, minus, toxic = (got[c][int(i)].as_py() for c in ("own", "plus", "minus", "toxic"))
+        seen.setdefault(own, (int(toxic > 0), np.frombuffer(own, np.uint64), (np.frombuffer(plus, np.uint64), np.frombuffer(minus, np.uint64))))
     return fit(list(seen.values()), families=families, **settings)
 
 
 def flag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, toxicity) of each row judged toxic.  Null and empty texts never are; rows with
-    a null id come out with a null id; repeated rows come out repeatedly."""
+    """(doc_id, toxicity) of each row judged toxic.  Ids are integers.  Null and empty texts and those
+    without a word are never toxic; rows with a null id come out with a null id; repeated rows come
+    out repeatedly.  Texts are scored whole; a score equal to
+    the threshold is toxic; an empty table, or no model, gives no rows; other columns are never looked at."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("_text"))
 
     def run(batches):
@@ -210,7 +227,9 @@ def flag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows judged toxic; every column passes through."""
+    """``docs`` without the rows judged toxic, as by ``flag``; every column passes through, whatever its
+    name, and so do all rows with a null or empty text, a null id, or a text repeated that stays.  An empty
+    table stays empty; without a model nothing goes."""
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -1,10 +1,13 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 1. Equal vectors collapse first: one of each goes on.
-2. Trees split recursively at the median of a random projection.  Vectors within ``spill``
-   of the median go to both sides, so that close pairs seldom part.  While nodes are larger
-   than ``node_rows``, a level is a pass over the data: histograms of the projections are
-   summed by node, medians read off them, and only these go to the executors.
+2. Trees split recursively at the median of a random projection.  Vectors whose projection lies
+   within ``spill`` of the median, as a share of the node's rows, go to both sides, so that
+   close pairs seldom part, and a child has 0.5 + spill of its parent's rows however dense or wide
+   the vectors are.  While nodes are larger than ``node_rows``, a level is a pass over the data:
+   quantiles of the projections come from mergeable sketches, a group per node.  Those of the
+   first ``SENT_LEVELS`` levels are sent to all tasks, three numbers a node; vectors beyond are
+   placed in their nodes, and deeper quantiles are joined to them by node.
    Smaller nodes are one group each, split further in memory down to ``leaf_rows``.
 3. In a leaf every vector is compared with every other.  Verified pairs are joined to a
    spanning forest at once, so a leaf of n copies gives n - 1 edges, not n**2.
@@ -28,8 +31,8 @@ from . import _vec as V
 from ._store import cut, drop
 from .graph import components
 
-THRESHOLD, TREES, SPILL, LEAF_ROWS, NODE_ROWS, TREES_AT_ONCE = 0.9, 12, 0.02, 256, 20_000, 4
-_BINS = 2048
+THRESHOLD, TREES, SPILL, LEAF_ROWS, NODE_ROWS, TREES_AT_ONCE, SENT_LEVELS = 0.9, 12, 0.06, 256, 20_000, 4, 13
+_EXACT = 10_000  # accuracy of the quantile sketches: a ten-thousandth of a node's rows
 
 
 def vectors(docs: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -55,25 +58,29 @@ def vectors(docs: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def direction(tree: int, node: int, dim: int) -> np.ndarray:
     v = np.random.default_rng([tree, node, dim, 77]).standard_normal(dim)
-    return (v / np.sqrt(v @ v)).astype(np.float32)
+    return v / np.sqrt(v @ v)
 
 
-def route(x: np.ndarray, tree: int, medians: dict[tuple[int, int, int], float], spill: float) -> list[tuple[int, np.ndarray]]:
-    """(node, rows) of the nodes of one tree without a median: the root is 1, children of n are 2n and 2n + 1."""
+def route(x: np.ndarray, tree: int, cuts: dict[tuple[int, int, int], tuple[float, float]]) -> list[tuple[int, np.ndarray]]:
+    """(node, rows) of the nodes of one tree without a cut: the root is 1, children of n are 2n and 2n + 1."""
     done, todo = [], [(1, np.arange(len(x)))]
     while todo:
         node, rows = todo.pop()
-        m = medians.get((tree, x.shape[1], node))
-        if m is None:
+        cut_ = cuts.get((tree, x.shape[1], node))
+        if cut_ is None:
             done.append((node, rows))
             continue
-        p = x[rows] @ direction(tree, node, x.shape[1])
-        for child, own in ((2 * node, rows[p <= m + spill]), (2 * node + 1, rows[p >= m - spill])):
+        p = project(x[rows], tree, node)
+        for child, own in ((2 * node, rows[p <= cut_[1]]), (2 * node + 1, rows[p >= cut_[0]])):
             if len(own):
                 todo.append((child, own))
     return done
 
 
+def project(x: np.ndarray, tree: int, node: int) -> np.ndarray:
+    return x.astype(np.float64) @ direction(tree, node, x.shape[1])
+
+
 def _by_dim(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(dimension, rows, matrix): vectors of unlike lengths are never compared."""
     data, off = V.buffers(b.column(column))
@@ -85,8 +92,8 @@ def _by_dim(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, n
 
 
 def split_tree(x: np.ndarray, leaf: int, spill: float, seed: list[int]) -> Iterator[np.ndarray]:
-    """Leaves (row numbers) of one tree over the rows of ``x``.  A node that its split can't
-    shrink (its vectors lie within the spill) is a leaf, whatever its size."""
+    """Leaves (row numbers) of one tree over the rows of ``x``.  A node that four splits can't
+    shrink (its projections tie) is a leaf, whatever its size; leaves are compared in blocks."""
     rng, todo = np.random.default_rng(seed), [np.arange(len(x))]
     while todo:
         rows = todo.pop()
@@ -94,10 +101,9 @@ def split_tree(x: np.ndarray, leaf: int, spill: float, seed: list[int]) -> Itera
             yield rows
             continue
         for _ in range(4):
-            v = rng.standard_normal(x.shape[1]).astype(np.float32)
-            p = x[rows] @ (v / np.sqrt(v @ v))
-            m = np.median(p)
-            left, right = rows[p <= m + spill], rows[p >= m - spill]
+            p = x[rows].astype(np.float64) @ rng.standard_normal(x.shape[1])
+            low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
+            left, right = rows[p <= high], rows[p >= low]
             if max(len(left), len(right)) <= 0.9 * len(rows):
                 todo += [left, right]
                 break
@@ -139,39 +145,80 @@ def forest_edges(x: np.ndarray, leaves: Iterator[np.ndarray], threshold: float,
     return e[:, 0], e[:, 1]
 
 
-def _medians(vecs: DataFrame, trees: range, spill: float, node_rows: int) -> dict[tuple[int, int, int], float]:
-    """Medians of all nodes of more than ``node_rows`` vectors, a level a pass."""
-    spark, medians = vecs.sparkSession, {}
-    while True:
-        sent = spark.sparkContext.broadcast(medians)
+def _quantiles(projected: DataFrame, spill: float, node_rows: int) -> DataFrame:
+    """(tree, dim, node, low, high) of the nodes of more than ``node_rows`` vectors that a cut divides."""
+    ends = F.percentile_approx("p", F.array(F.lit(0.5 - spill), F.lit(0.5 + spill)), _EXACT)
+    big = projected.groupBy("tree", "dim", "node").agg(F.count("*").alias("total"), ends.alias("q"), F.min("p").alias("least"), F.max("p").alias("most")).where(F.col("total") > node_rows)
+    cuts = big.select("tree", "dim", "node", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "least", "most")
+    return cuts.where("low > least and high < most").drop("least", "most")  # else one side would have all rows
 
-        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n: dict[tuple[int, int, int], np.ndarray] = {}
+
+def _cuts(vecs: DataFrame, trees: range, spill: float, node_rows: int, levels: int) -> dict[tuple[int, int, int], tuple[float, float]]:
+    """Cuts of all nodes of more than ``node_rows`` vectors, a level a pass, ``levels`` at most: a number
+    of cuts that doesn't grow with the data beyond 2**levels a tree."""
+    spark, cuts = vecs.sparkSession, {}
+    for level in range(levels):
+        sent = spark.sparkContext.broadcast(cuts)
+
+        def tell(batches: Iterator[pa.RecordBatch], level=level, sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for dim, _, x in _by_dim(b, 1):
                     for tree in trees:
-                        for node, rows in route(x, tree, sent.value, spill):
-                            p = x[rows] @ direction(tree, node, dim)
-                            bins = np.clip(((p + 1) * (_BINS / 2)).astype(np.int64), 0, _BINS - 1)
-                            key = (tree, dim, node)
-                            n[key] = n.get(key, 0) + np.bincount(bins, minlength=_BINS)
-            for (tree, dim, node), h in n.items():
-                at = np.flatnonzero(h)
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), pa.int64()) for v in (tree, dim, node)] + [pa.array(at, pa.int64()), pa.array(h[at], pa.int64())], ["tree", "dim", "node", "bin", "n"])
-
-        hist = vecs.mapInArrow(tally, "tree long, dim long, node long, bin long, n long").groupBy("tree", "dim", "node", "bin").agg(F.sum("n").alias("n"))
-        nodes = hist.groupBy("tree", "dim", "node").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"))
-        running = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("bin")), lambda a, e: F.when(a["bin"] >= 0, a).otherwise(F.struct((a["seen"] + e["n"]).alias("seen"), F.when(2 * (a["seen"] + e["n"]) >= F.col("total"), e["bin"]).otherwise(F.lit(-1).cast("long")).alias("bin"))))
-        big = nodes.where(F.col("total") > node_rows).select("tree", "dim", "node", running["bin"].alias("bin"), F.size("h").alias("kinds")).collect()
-        fresh = {(r.tree, r.dim, r.node): (r.bin + 0.5) * 2 / _BINS - 1 for r in big if r.kinds > 4 and r.node < 1 << 40}
+                        for node, rows in route(x, tree, sent.value):
+                            if node >> level:  # a node of a higher level was left uncut for good
+                                n = len(rows)
+                                yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int64()) for v in (tree, dim, node)] + [pa.array(project(x[rows], tree, node))], ["tree", "dim", "node", "p"])
+
+        fresh = {(r.tree, r.dim, r.node): (r.low, r.high) for r in _quantiles(vecs.mapInArrow(tell, "tree long, dim long, node long, p double"), spill, node_rows).toLocalIterator()}
         sent.unpersist()
-        fresh = {k: v for k, v in fresh.items() if k not in medians}
         if not fresh:
-            return medians
-        medians = medians | fresh
+            break
+        cuts = cuts | fresh
+    return cuts
 
 
-def edges(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, trees: int = TREES, spill: float = SPILL, leaf_rows: int = LEAF_ROWS, node_rows: int = NODE_ROWS, trees_at_once: int = TREES_AT_ONCE) -> DataFrame:
+def _deeper(placed: DataFrame, spill: float, node_rows: int) -> DataFrame:
+    """``placed`` with all nodes cut that can be, a level a pass, quantiles joined by node."""
+    schema = "tree long, dim long, node long, _id long, vec binary"
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, tree, dim, node, x in _by_node(b):
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(rows), pa.int64()) for v in (tree, dim, node)] + [pa.array(project(x, tree, node))], ["tree", "dim", "node", "p"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, high = (np.asarray(b.column(b.schema.get_field_index(c)).fill_null(float("nan"))) for c in ("low", "high"))
+            for rows, tree, dim, node, x in _by_node(b):
+                p = project(x, tree, node)
+                for child, own in ((node, rows[np.isnan(low[rows])]), (2 * node, rows[p <= high[rows]]), (2 * node + 1, rows[p >= low[rows]])):
+                    at = pa.array(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(own), pa.int64()) for v in (tree, dim, child)] + [b.column(b.schema.get_field_index(c)).take(at) for c in ("_id", "vec")], ["tree", "dim", "node", "_id", "vec"])
+
+    now = cut(placed, "placed")
+    while True:
+        found = cut(_quantiles(now.mapInArrow(tell, "tree long, dim long, node long, p double"), spill, node_rows), "quantiles")
+        if not found.head(1):
+            drop(found)
+            return now
+        after = cut(now.join(found, ["tree", "dim", "node"], "left").mapInArrow(split, schema), "placed")
+        drop(now)
+        drop(found)
+        now = after
+
+
+def _by_node(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, int, int, np.ndarray]]:
+    """(rows, tree, dimension, node, matrix) of the nodes in a batch."""
+    tree, node = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("tree", "node"))
+    for dim, rows, x in _by_dim(b, b.schema.get_field_index("vec")):
+        order = np.lexsort((node[rows], tree[rows]))
+        t, n = tree[rows][order], node[rows][order]
+        starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (n[1:] != n[:-1])])
+        for lo, hi in zip(starts, np.r_[starts[1:], len(order)]):
+            yield rows[order[lo:hi]], int(t[lo]), dim, int(n[lo]), x[order[lo:hi]]
+
+
+def edges(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, threshold: float = THRESHOLD, trees: int = TREES, spill: float = SPILL, leaf_rows: int = LEAF_ROWS, node_rows: int = NODE_ROWS, trees_at_once: int = TREES_AT_ONCE, sent_levels: int = SENT_LEVELS) -> DataFrame:
     """Edges (a, b) of near-duplicate vectors that join each group found."""
     spark = docs.sparkSession
     vecs = cut(vectors(docs, id_col, vector_col), "vectors")
@@ -183,13 +230,14 @@ def edges(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     parts = [out]
     for t in range(0, trees, trees_at_once):
         own = range(t, min(trees, t + trees_at_once))
-        medians = spark.sparkContext.broadcast(_medians(one, own, spill, node_rows))
+        found = _cuts(one, own, spill, node_rows, sent_levels)
+        cuts = spark.sparkContext.broadcast(found)
 
-        def place(batches: Iterator[pa.RecordBatch], own=own, medians=medians) -> Iterator[pa.RecordBatch]:
+        def place(batches: Iterator[pa.RecordBatch], own=own, cuts=cuts) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for dim, rows, x in _by_dim(b, 1):
                     for tree in own:
-                        for node, some in route(x, tree, medians.value, spill):
+                        for node, some in route(x, tree, cuts.value):
                             n, at = len(some), pa.array(rows[some])
                             yield pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int64()) for v in (tree, dim, node)] + [b.column(0).take(at), b.column(1).take(at)], ["tree", "dim", "node", "_id", "vec"])
 
@@ -206,7 +254,10 @@ def edges(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
         placed = one.select("_id", "vec").mapInArrow(place, "tree long, dim long, node long, _id long, vec binary")
+        if any(node >> (sent_levels - 1) for _, _, node in found):  # the last level sent was cut: there may be large nodes below
+            placed = _deeper(placed, spill, node_rows)
         parts.append(cut(placed.groupBy("tree", "dim", "node").applyInArrow(compare, "a long, b long"), "forest-edges"))
+        drop(placed)
     drop(one)
     for x in parts[1:]:
         out = out.unionAll(x)
@@ -217,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """(vec_id, duplicate_of): every vector whose cosine similarity links it to others, with the
     least id of its group.
 
-    Null vectors, vectors with a null, NaN or infinite entry, empty and zero vectors are in no
+    Ids are integers.  Null vectors, vectors with a null, NaN or infinite entry, empty and zero vectors are in no
     group; rows with a null id are in none.  Vectors of unlike lengths are never compared.
     Rows that repeat an id are one vector.  A group is the transitive closure of verified
     pairs, so ties can't arise.  An empty table gives no rows; other columns are never looked at.

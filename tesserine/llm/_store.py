@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.  Only where the session has none
-    (tests on one machine) a fresh folder is made."""
+    """The folder that ``spark.checkpoint.dir`` names.  Where the session has none, a fresh folder is
+    made if all runs in one process (``local[n]``, as in tests); on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="tesserine-")
@@ -36,6 +41,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tesserine_path = path
+    _made.append(path)
     return out
 
 
@@ -43,9 +49,23 @@ def drop(df: DataFrame) -> None:
     """Remove a table made by ``cut`` once nothing reads it any more."""
     path = getattr(df, "_tesserine_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def kept_only(step: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``step`` returns by ``cut``; all other tables made meanwhile are removed."""
+    before = set(_made)
+    out = step()
+    for path in [p for p in _made if p not in before and p != out._tesserine_path]:
+        _remove(out.sparkSession, path)
+    return out
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

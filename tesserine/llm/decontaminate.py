@@ -202,7 +202,7 @@ def indexes(benchmark: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **settings) -> DataFrame:
     """(doc_id, item_id, distance, start_byte, end_byte) of every benchmark passage found.
 
-    Null and empty texts match nothing; a null doc_id is reported as null; repeated rows are
+    Ids are integers.  Null and empty texts match nothing; a null doc_id is reported as null; repeated rows are
     reported repeatedly; an empty documents or benchmark table gives no rows; further
     columns are never looked at.  Texts are searched whole.
     """
@@ -228,7 +228,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **settings) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark passage; every column passes through."""
+    """``docs`` without the rows whose text holds a benchmark passage; every column passes through,
+    whatever its name.  Null and empty texts stay; repeated rows stay or go together; texts are
+    searched whole; an empty documents or benchmark table takes nothing away."""
     at = docs.columns.index(text_col)
     schema = docs.schema
     for index in indexes(benchmark, item_col, item_text, **settings):

@@ -230,7 +230,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
     """(doc_id, license, template, containment, first_word, last_word) of every template found, words
     counted from 0; ``template`` is the number of the template among those long enough to use.
 
-    Null and empty texts and those of fewer words than a shingle hold none; a null id is
+    Ids are integers.  Null and empty texts and those of fewer words than a shingle hold none; a null id is
     reported as null; repeated rows are reported repeatedly; templates that tie are all
     reported; texts are searched whole; an empty table or no templates give no rows;
     other columns are never looked at.

@@ -203,7 +203,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, line_no) of every line that an earlier line matches; lines count from 0 and end at
     a line feed.
 
-    Words are runs of ASCII letters and digits and of non-ASCII characters, ASCII case folded.
+    Ids are integers.  Words are runs of ASCII letters and digits and of non-ASCII characters, ASCII case folded.
     Lines without a word (blank ones, rules) match nothing.  Null texts have no lines.  Rows
     with a null id can't be ordered and are left alone.  Rows that repeat an id are one
     document, a line of it never matching itself; should their texts differ, the least token

@@ -11,8 +11,8 @@ or more places of the corpus.
 2. A task packs its super-k-mers by bucket and compresses each pack.  Equal super-k-mers
    of a pack travel once, with the places (document, word) of all: text that is everywhere
    reaches its bucket once a task, and is counted in full.
-3. A bucket sorts the windows of its strings by hash and compares equal ones word by word:
-   counts are exact.
+3. A bucket sorts the windows of its strings by hash and compares equal ones word by word (by
+   the 64-bit hashes of their words), so a collision of window hashes does no harm.
 4. Places of repeated windows merge to spans, in Spark SQL.
 """
 
@@ -170,7 +170,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words counted from 0.  ``earliest`` marks those whose windows stand here for the first time by
     document id, then word: a deduplication keeps these and removes the others.
 
-    Null and empty texts and those of fewer than ``k`` words have no windows.  Rows with a
+    Ids are integers.  Null and empty texts and those of fewer than ``k`` words have no windows.  Rows with a
     null id can't be named and are left out.  Rows that repeat an id are one document: equal
     words at equal places are one occurrence.  Texts of any length are used whole; an
     empty table gives no rows; other columns are never looked at.

@@ -39,6 +39,11 @@ _TYPES = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa
 _URN = "urn:page:"
 
 
+def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store that a URI names and the path in it; ``s3a`` and ``s3n`` are Hadoop's names of S3."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def digest(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -120,7 +125,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.at = [f.name for f in schema.fields]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.options["path"])
+        fs, root = _store(self.options["path"])
         fs.create_dir(root, recursive=True)
         limit, job, date = int(self.options.get("filebytes", FILE_BYTES)), self.options["job"], self.options["date"]
         part = TaskContext.get().partitionId()
@@ -151,13 +156,13 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.options["path"])
+        fs, root = _store(self.options["path"])
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/manifest-{self.options['job']}.json") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.options["path"])
+        fs, root = _store(self.options["path"])
         for name in (x for m in messages if m for x in m.files):
             fs.delete_file(f"{root}/{name}")
 
@@ -172,7 +177,7 @@ class WarcReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[File]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.options["path"])
+        fs, root = _store(self.options["path"])
         names: list[str] = []
         for x in fs.get_file_info(pyarrow.fs.FileSelector(root)):
             if x.base_name.startswith("manifest-"):
@@ -183,7 +188,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.options["path"])
+        fs, root = _store(self.options["path"])
         with fs.open_input_stream(f"{root}/{partition.name}", compression=None) as f:
             data = f.read()
         rows, size = [], 0
@@ -220,7 +225,7 @@ class WarcSource(DataSource):
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, file_bytes: int = FILE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> None:
     """Archive every page under ``path``, a URI; a folder that holds archives gets more of them.
 
-    Rows without html (null) were never captured and give no record; an empty page gives an
+    Ids are integers.  Rows without html (null) were never captured and give no record; an empty page gives an
     empty block.  A null or empty URL is archived under a URN of the page's id and read back as
     null; a null id has no id field.  White space and control characters of a URL are
     percent-encoded.  Repeated rows are repeated records, each with an id of its own.
@@ -236,6 +241,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under ``path``: where it lies, what it holds, and whether its digest is right."""
+    """Every record under ``path``: where it lies, what it holds, and whether its digest is right.
+
+    Null ids and URLs come back as null; empty pages as empty; repeated records repeatedly; long records
+    whole.  Files that no manifest names are not read.  An archive of an empty table gives no rows.
+    """
     spark.dataSource.register(WarcSource)
     return spark.read.format(FORMAT).load(path)

@@ -76,7 +76,7 @@ def test_every_labelled_text_has_a_counterfactual(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     assert model.pairs == 60
-    s = toxicity.scores(model, pa.array(["these women met", "these men met", "scum and vermin", "", None, "…"]))
+    s = toxicity.scores(model, pa.array(["these women met", "these men met", "scum and vermin", "", None, "?!"]))
     assert abs(s[0] - s[1]) < 0.05 and s[2] > 0.5 and max(s[3:]) < 1e-9
 
 

@@ -15,6 +15,15 @@ ocaml:ml,mli php:php powershell:ps1,psm1 python:py,pyi,pyx r:r,rmd rst:rst ruby:
 svelte:svelte swift:swift terraform:tf,tfvars text:txt toml:toml tsx:tsx typescript:cts,mts,ts vlang:v vue:vue xml:xml yaml:yaml,yml zig:zig zsh:zsh
 """
 LANGUAGE_OF = {e: lang for lang, exts in (x.split(":") for x in _LANGUAGES.split()) for e in exts.split(",")}
+_CORE = "c cc cpp cs css cxx go h hpp html java js json jsx kt kts md php py rb rs scala scss swift toml ts tsx xml yaml yml zig".split()
+_MORE = [*_CORE, *"bash cjs htm markdown mjs pyi sh sql".split()]
+#: Shorter tables of the other entry points.
+PROFILES = {
+    "cli": LANGUAGE_OF,
+    "binding": {e: LANGUAGE_OF[e] for e in [*_MORE, *"cts hxx mts pyx rake".split()]},
+    "mmap": {e: LANGUAGE_OF[e] for e in [*_MORE, "lua"]} | {"pyw": "python", "sass": "scss"},
+    "wasm": {e: LANGUAGE_OF[e] for e in _CORE} | {"jsx": "javascript", "tsx": "typescript", "h": "cpp", "sass": "scss"},
+}
 #: Languages whose symbols can be extracted, by extension.
 PARSED = dict(go="go", java="java", js="javascript", jsx="javascript", py="python", pyw="python", rs="rust", ts="typescript", tsx="typescript", mjs="javascript", cjs="javascript")
 BINARY = tuple(sorted("7z a avi bin bmp bz2 cache class dat db dll doc docx dylib ear eot exe flac gif gz ico jar jpeg jpg lib lock mkv mov mp3 mp4 o obj odt ogg otf pdf png ppt pptx psd pyc pyo rar so sqlite sqlite3 sum svg tar tgz tiff ttf war wav webm webp woff woff2 xls xlsx xz zip".split()))
@@ -30,9 +39,44 @@ def extension(path: Column) -> Column:
     return F.when(e != "", e)
 
 
-def language(path: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in LANGUAGE_OF.items() for x in kv))
-    return F.try_element_at(table, F.coalesce(extension(path), F.lit("")))
+def language(path: Column, profile: str = "cli") -> Column:
+    """By the last extension, in any case but for the wasm profile, which takes it as written."""
+    table = F.create_map(*(F.lit(x) for kv in PROFILES[profile].items() for x in kv))
+    e = F.regexp_extract(filename(path), r"^.+\.([^.]*)$", 1) if profile == "wasm" else extension(path)
+    return F.try_element_at(table, F.coalesce(e, F.lit("")))
+
+
+def mermaid_id(name: Column) -> Column:
+    return F.translate(name, "-.", "__")
+
+
+_TOP = ("main", "index", "app", "server", "lib")
+ENTRIES = tuple(f"{a}.{b}" for a, bs in {"main": "c cpp go js py rs ts", "index": "js jsx py ts tsx", "app": "go js jsx py ts tsx", "server": "go js py ts", "lib": "rs", "mod": "rs", "__main__": "py", "__init__": "py"}.items() for b in bs.split())
+CONFIGS = tuple(sorted("CMakeLists.txt Cargo.toml Dockerfile Gemfile Makefile build.gradle docker-compose go.mod next.config package.json pom.xml pyproject.toml requirements.txt setup.cfg setup.py tsconfig.json vite.config webpack.config .env.example config.json config.yaml config.yml".split()))
+
+
+def _any(items) -> Column:
+    out = F.lit(False)
+    for x in items:
+        out = out | x
+    return out
+
+
+def is_entry_point(path: Column) -> Column:
+    """A path that ends with, or has below a folder, the name of an entry file."""
+    return _any(path.endswith(x) | path.contains("/" + x) for x in ENTRIES)
+
+
+def entry_type(path: Column) -> Column:
+    out = F.when(path.contains(_TOP[0]), F.lit(_TOP[0]))
+    for x in _TOP[1:4]:
+        out = out.when(path.contains(x), F.lit(x))
+    return out.when(path.contains("lib"), "library").when(path.contains("mod.rs"), "module").otherwise("entry")
+
+
+def is_config(path: Column) -> Column:
+    """The name holds that of a configuration file, at the root or one folder below."""
+    return _any(filename(path).contains(x) for x in CONFIGS) & (F.size(F.split(path, "/")) <= 2)
 
 
 def parser_language(path: Column) -> Column:

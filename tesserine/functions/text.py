@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import paths, tokens
+
 
 def lines(text: Column) -> Column:
     """Lines without their ends; no empty line after a last line feed."""
@@ -148,6 +150,21 @@ def parse_size(text: Column) -> Column:
     return F.when(n != "", n.try_cast("long") * scale)
 
 
+def content_hash(content: Column) -> Column:
+    """64-bit hash: equal contents have equal ones."""
+    return F.xxhash64(content)
+
+
+def span_lines(start: Column, end: Column) -> Column:
+    """Lines of a span, both ends counted; 1 where they are reversed."""
+    return F.when(end >= start, end - start + 1).otherwise(1)
+
+
+def process_file(path: Column, content: Column) -> Column:
+    """Language, size and tokens of one file as a struct, as the smallest entry point gives them."""
+    return F.struct(paths.language(path, "wasm").alias("language"), F.octet_length(content).cast("long").alias("size_bytes"), tokens.count_all(content, "wasm").alias("token_count"))
+
+
 def epoch_date(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
 

@@ -14,17 +14,28 @@ from pyspark.sql import functions as F
 
 
 def fixed(files: DataFrame, group: str, order: str, tokens: str, size: int) -> DataFrame:
-    """``chunk`` from 0: files in order, a new chunk where the next would pass ``size``; a larger file stands alone."""
-    listed = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).alias("t")))).alias("l"))
-    start = F.struct(F.lit(-1).cast("long").alias("c"), F.lit(0).cast("long").alias("s"), F.array().cast("array<struct<o:bigint,c:bigint>>").alias("out"))
+    """(group, order, chunk), chunks from 0: files in order, a new chunk where the next would pass ``size``; a larger
+    file stands alone.  A null count is 0.  Groups are folded as sorted partitions stream by, none is held."""
+    rows = files.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(tokens).cast("long").alias("t")).repartition("g").sortWithinPartitions("g", "o")
 
-    def step(a: Column, e: Column) -> Column:
-        fresh = (a["c"] < 0) | (a["s"] + e["t"] > size)
-        c = a["c"] + F.when(fresh, 1).otherwise(0).cast("long")
-        return F.struct(c.alias("c"), F.when(fresh, e["t"]).otherwise(a["s"] + e["t"]).cast("long").alias("s"), F.concat(a["out"], F.array(F.struct(e["o"].cast("long").alias("o"), c.alias("c")))).alias("out"))
-
-    folded = listed.select(group, F.explode(F.aggregate("l", start, step)["out"]).alias("x"))
-    return files.join(folded.select(group, F.col("x.o").alias(order), F.col("x.c").alias("chunk")), [group, order])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, total = object(), -1, 0
+        for b in batches:
+            at = []
+            for g, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                t = t or 0
+                if g != now:
+                    now, chunk, total = g, 0, t
+                elif total + t > size:
+                    chunk, total = chunk + 1, t
+                else:
+                    total += t
+                at.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int64())], ["g", "o", "chunk"])
+
+    kinds = {c: files.schema[c].dataType.simpleString() for c in (group, order)}
+    folded = rows.mapInArrow(fold, f"g {kinds[group]}, o {kinds[order]}, chunk long")
+    return folded.select(F.col("g").alias(group), F.col("o").alias(order), "chunk")
 
 
 def per_file(files: DataFrame, group: str, order: str) -> DataFrame:

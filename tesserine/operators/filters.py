@@ -43,9 +43,11 @@ def of_language(files: DataFrame, language: str) -> DataFrame:
 
 
 def listed(files: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
-    """Files whose path is, or ends with, a listed name.  All ends of a path are joined by equality:
-    a hash join, where ``endswith`` would be a nested loop."""
+    """Files whose path is, or ends with, a listed name.  The ends of a path that are as long as some
+    listed name are joined by equality: a hash join, where ``endswith`` would be a nested loop."""
     wanted = names.select(F.col(name).alias("_name")).where("_name is not null and _name <> ''").distinct()
-    ends = files.select("relative_path", F.explode(F.transform(F.sequence(F.lit(1), F.length("relative_path")), lambda i: F.substring(F.col("relative_path"), i, F.length("relative_path")))).alias("_name"))
+    lengths = [r[0] for r in wanted.select(F.length("_name")).distinct().collect()]  # no more than a path has characters
+    own = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("relative_path"))
+    ends = files.select("relative_path", F.explode(F.transform(own, lambda n: F.right(F.col("relative_path"), n))).alias("_name"))
     hit = ends.join(wanted, "_name", "left_semi").select("relative_path").distinct()
     return files.join(hit, "relative_path", "left_semi")

@@ -6,23 +6,51 @@ with an executor grow with the rounds.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
+from ..storage import checkpoint as _checkpoint
+
+#: Graphs of at most so many vertices and edges are ranked and searched in memory on the driver; larger ones
+#: by joins.  Both ways give the same rows.
+IN_MEMORY = 1_000_000
+
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tesserine-"))  # its own only where none is named
-    return df.checkpoint(eager=True)
+def _small(vertices: DataFrame | None, edges: DataFrame, most: int) -> tuple[list, list] | None:
+    """(vertices, edges) as lists, if neither passes ``most``: one row more is enough to tell."""
+    got = edges.select("src", "dst").limit(most + 1).toArrow()
+    if got.num_rows > most:
+        return None
+    every = None if vertices is None else vertices.limit(most + 1).toArrow()
+    if every is not None and every.num_rows > most:
+        return None
+    pairs = list(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
+    return (sorted({x for p in pairs for x in p}) if every is None else sorted(every.column(0).to_pylist())), pairs
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 20, spread_dangling: bool = True, scale_to_max: bool = False, cut_every: int = 5) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 20, spread_dangling: bool = True, scale_to_max: bool = False, cut_every: int = 5, in_memory: int = IN_MEMORY) -> DataFrame:
     """(id, rank) after so many rounds.  Parallel edges count each; edges need both ends in
     ``vertices``.  Rank without an outgoing edge is spread over all vertices, or dropped."""
+    vertices = vertices.select("id").where("id is not null").distinct()
+    small = _small(vertices, edges, in_memory)
+    if small is not None:
+        ids, pairs = small
+        at = {x: i for i, x in enumerate(ids)}
+        ends = np.array([(at[a], at[b]) for a, b in pairs if a in at and b in at], np.int64).reshape(-1, 2)
+        n, src, dst = len(ids), ends[:, 0], ends[:, 1]
+        degree = np.bincount(src, minlength=n)
+        rank = np.full(n, 1.0 / max(n, 1))
+        for _ in range(rounds):
+            lost = rank[degree == 0].sum() if spread_dangling else 0.0
+            rank = (1 - damping) / max(n, 1) + damping * (np.bincount(dst, weights=(rank / np.maximum(degree, 1))[src], minlength=n) + lost / max(n, 1))
+        if scale_to_max and n:
+            rank = rank / rank.max()
+        kind = pa.schema([("id", pa.array(ids).type if ids else pa.int64()), ("rank", pa.float64())])
+        made = vertices.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array(ids, kind.field(0).type), pa.array(rank, pa.float64())], schema=kind))
+        return made.select(F.col("id").cast(vertices.schema["id"].dataType).alias("id"), "rank")
     v = _checkpoint(vertices.select("id").distinct())
     e = edges.select("src", "dst").join(v.select(F.col("id").alias("src")), "src", "left_semi").join(v.select(F.col("id").alias("dst")), "dst", "left_semi")
     out = e.groupBy("src").agg(F.count("*").alias("degree"))
@@ -49,11 +77,53 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, damping: float = 0.85, ro
     return ranks.select("id", "rank")
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def _strong(vertices: list, pairs: list) -> list[list]:
+    """Strongly connected components, by an iterative depth-first search that keeps low links."""
+    out: dict = {x: [] for x in vertices}
+    for a, b in pairs:
+        out[a].append(b)
+    order, low, open_, stack, found = {}, {}, set(), [], []
+    for start in vertices:
+        if start in order:
+            continue
+        path = [(start, iter(out[start]))]
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        open_.add(start)
+        while path:
+            x, rest = path[-1]
+            y = next(rest, None)
+            if y is None:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[x])
+                if low[x] == order[x]:
+                    group = []
+                    while not group or group[-1] != x:
+                        group.append(stack.pop())
+                    open_.difference_update(group)
+                    found.append(sorted(group))
+            elif y not in order:
+                order[y] = low[y] = len(order)
+                stack.append(y)
+                open_.add(y)
+                path.append((y, iter(out[y])))
+            elif y in open_:
+                low[x] = min(low[x], order[y])
+    return found
+
+
+def cycles(edges: DataFrame, *, in_memory: int = IN_MEMORY) -> DataFrame:
     """(component, members): strongly connected components of more than one vertex, by their least
-    member.  Vertices without a way in or out are trimmed first; then labels go forward and
+    member.  Beyond ``in_memory`` edges: vertices without a way in or out are trimmed first; then labels go forward and
     back: the vertices that reach, and are reached from, the least vertex of their label are a component."""
-    left = _checkpoint(edges.where("src <> dst").select("src", "dst").distinct())
+    edges = edges.where("src <> dst").select("src", "dst").distinct()
+    small = _small(None, edges, in_memory)
+    kind = edges.schema["src"].dataType.simpleString()
+    if small is not None:
+        rows = [(g[0], g) for g in _strong(*small) if len(g) > 1]
+        return edges.sparkSession.createDataFrame(rows, f"component {kind}, members array<{kind}>")
+    left = _checkpoint(edges)
     done = None
     while True:
         while True:  # trim
@@ -111,14 +181,32 @@ _INDEX = {"python": ("{}.py", "{}/__init__.py"), "rust": ("{}.rs", "{}/mod.rs"),
 _SCRIPT = ("{}", "{}.ts", "{}.tsx", "{}.js", "{}.jsx", "{}/index.ts", "{}/index.tsx", "{}/index.js", "{}/index.jsx")
 
 
+def relative(source: Column, target: Column) -> Column:
+    """A target that begins with a dot, seen from the folder of the file that names it; others as they are."""
+    folder = F.regexp_extract(source.cast("string"), r"^(.*/)", 1)
+    return F.when(target.rlike(r"^\.\.?(/|$)"), paths.normalise(F.concat(folder, target))).otherwise(target)
+
+
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (src, language, target) with ``dst``: the first candidate path that is a file, or null.
+    """imports (src, language, target) with ``dst``: the first candidate path that is a file, else the first
+    file whose dotted module is the target or the longest beginning of it, else null.
 
-    Candidates carry their order; one equality join against the listing finds all at once.
+    Candidates carry their order; one equality join against the listing finds all at once.  Nulls resolve
+    to nothing; rows repeat as they do in ``imports``.
     """
     shapes = F.create_map(*(x for k, v in _INDEX.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     forms = F.coalesce(F.try_element_at(shapes, F.coalesce("language", F.lit(""))), F.array(*map(F.lit, _SCRIPT)))
-    numbered = imports.withColumn("_row", F.xxhash64("src", "target"))
-    tried = numbered.select("src", "target", F.posexplode(F.transform(forms, lambda f: F.replace(f, F.lit("{}"), F.col("target")))).alias("_nth", "_path"))
-    hit = tried.join(files.select(F.col("relative_path").alias("_path")).distinct(), "_path").groupBy("src", "target").agg(F.min_by("_path", "_nth").alias("dst"))
+    known = files.select(F.col("relative_path").alias("_path")).where("_path is not null").distinct()
+    dotted = F.regexp_replace(F.regexp_replace("target", r"^crate::", ""), r"::|/", ".")
+    parts = F.split(dotted, r"\.")
+    heads = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    distinct = imports.select("src", "language", "target").distinct()
+    tried = distinct.select("src", "target", F.posexplode(F.transform(forms, lambda f: F.replace(f, F.lit("{}"), relative(F.col("src"), F.col("target"))))).alias("_nth", "_key"))
+    # modules are asked only by names with a dot or colons that aren't paths, and in their own language
+    named = distinct.where(F.col("target").rlike(r"^[\w]+([.:]+[\w]+)*$") & F.col("language").isin("python", "rust", "java"))
+    mapped = named.select("src", "target", "language", F.posexplode(heads).alias("_nth", "_key"))
+    modules = known.select(paths.language(F.col("_path")).alias("language"), F.regexp_replace(paths.dotted_module(F.col("_path")), r"\.(__init__|mod)$", "").alias("_key"), "_path").groupBy("language", "_key").agg(F.min("_path").alias("_path"))
+    by_path = tried.join(known, F.col("_key") == F.col("_path")).select("src", "target", "_nth", "_path")
+    by_name = mapped.join(modules, ["language", "_key"]).select("src", "target", (F.col("_nth") + 100).alias("_nth"), "_path")
+    hit = by_path.unionByName(by_name).groupBy("src", "target").agg(F.min_by("_path", "_nth").alias("dst"))
     return imports.join(hit, ["src", "target"], "left")

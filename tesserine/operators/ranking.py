@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..storage import checkpoint
 
 _STEMS = {"main": "c cpp go js rs ts", "index": "js jsx ts tsx", "app": "go js py rb ts", "server": "go js py ts", "cli": "js py rs ts", "lib": "rs", "mod": "rs", "__main__": "py"}
 CRITICAL = tuple(f"{a}.{b}" for a, bs in _STEMS.items() for b in bs.split())
@@ -60,8 +61,9 @@ def fast_score(path: Column) -> Column:
 
 def ordinal(rows: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """Rows numbered from 0 in a total order without one task that holds them all: a range-partitioned
-    sort, row counts by partition, and offsets joined back."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    sort, row counts by partition, and offsets joined back.  The sorted table is checkpointed: both branches, and
+    a stage that is run again, see the same partitions."""
+    placed = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))  # a row a partition
@@ -94,3 +96,8 @@ def rank_symbols(symbols: DataFrame) -> DataFrame:
 
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(n)
+
+
+def first_files(files: DataFrame, n: int) -> DataFrame:
+    """The first n files of the walk, before any ranking."""
+    return files.orderBy("seq").limit(n)

@@ -22,7 +22,8 @@ def number_lines(content: Column, form: str = "xml") -> Column:
         n = (i + 1).cast("string")
         if form == "toon":
             return F.concat(n, F.lit(":"), x)
-        padded = F.lpad(n, 4, " ") if form == "xml" else F.rpad(n, 4, " ")
+        width = F.greatest(F.lit(4), F.length(n))  # a longer number isn't cut
+        padded = F.lpad(n, width, F.lit(" ")) if form == "xml" else F.rpad(n, width, F.lit(" "))
         return F.concat(padded, F.lit(" | " if form == "xml" else " "), x)
 
     return F.array_join(F.transform(text.lines(content), one), "\n")
@@ -50,6 +51,18 @@ def blocks(files: DataFrame, form: str, numbered: bool = False) -> DataFrame:
     return files.select("relative_path", "seq", block(F.col("relative_path"), F.col("language"), F.col("content"), form, numbered).alias("block"))
 
 
+def small_blocks(files: DataFrame, form: str) -> DataFrame:
+    """(relative_path, block) in the plainer layouts of the smallest entry point."""
+    path, body, lang = F.col("relative_path"), F.col("content"), F.coalesce("language", F.lit(""))
+    shapes = {
+        "xml": F.concat(F.lit('<file path="'), text.xml_escape(path), F.lit('">\n'), F.replace(body, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("\n</file>")),
+        "markdown": F.concat(F.lit("### "), path, F.lit("\n```"), lang, F.lit("\n"), body, F.lit("\n```")),
+        "json": F.to_json(F.struct(path.alias("path"), body.alias("content"))),
+        "plain": F.concat(F.lit("--- "), path, F.lit(" ---\n"), body),
+    }
+    return files.select("relative_path", shapes[form].alias("block"))
+
+
 def tree_rows(files: DataFrame) -> DataFrame:
     """Every folder and file once, with its depth: the lines of a directory tree in the order of their components."""
     parts = F.split("relative_path", "/")

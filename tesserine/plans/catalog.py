@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, graph_queries, text_queries  # noqa: F401  (they fill the register)
+from . import corpus_queries, document_queries, graph_queries, text_queries, tree_queries  # noqa: F401  (they fill the register)
 from .base import QUERIES, SQL, Query
 
 

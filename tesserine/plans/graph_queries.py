@@ -1,123 +1,43 @@
-"""Queries over graphs: PageRank, cycles, import resolution, similarity of vectors."""
+"""Queries over graphs and vectors: ranks of the trade graph, similarity of embeddings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
 from ..operators import graph, vectors
 from .base import query, table
+from .tree_queries import rank_sql
 
-#: Trade between nations: an edge for each line sold from a supplier's nation to a customer's, distinct here.
-_TRADE = "(SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey % 6 <> s_nationkey % 6 AND (c_nationkey + s_nationkey) % 3 = 0 AND c_nationkey <> 24)"
+#: Trade between nations: an edge for each pair of nations, a nation with itself too, that a line was sold between.
+_TRADE = "SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"
+_SALES = _TRADE.replace("DISTINCT ", "")
 
 
-#: The same without a filter: every pair of nations that trade, a nation with itself too.
-_WHOLE = "(SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"
-
-
-def whole_trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nations, sales): every line sold is an edge from the customer's nation to the supplier's."""
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return t("nation").select(F.col("n_nationkey").alias("id")), lines.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+    return t("nation").select(F.col("n_nationkey").alias("id")), lines.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
 
 
-def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v, e = whole_trade(spark, sf_dir)
-    return v, e.where("src % 6 <> dst % 6 AND (src + dst) % 3 = 0 AND src <> 24")
-
+_NATIONS = "SELECT n_nationkey AS id FROM nation"
 
-def _rank_sql(rounds: int, spread: bool, scaled: bool, edges: str = _TRADE) -> str:
-    lost = "coalesce((SELECT sum(r.rank) FROM pr r WHERE r.id NOT IN (SELECT src FROM deg)), 0)" if spread else "0"
-    value = "rank / max(rank) OVER ()" if scaled else "rank"
-    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), deg AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM nation),
-pr AS (SELECT n_nationkey AS id, 1.0::DOUBLE / (SELECT n FROM n) AS rank, 0 AS i FROM nation
-UNION ALL
-SELECT v.n_nationkey, (0.15::DOUBLE / (SELECT n FROM n)) + 0.85::DOUBLE * (coalesce(g.s, 0) + {lost} / (SELECT n FROM n)), (SELECT max(i) FROM pr) + 1
-FROM nation v LEFT JOIN (SELECT e.dst, sum(p.rank / d.d) AS s FROM pr p JOIN e ON e.src = p.id JOIN deg d ON d.src = p.id GROUP BY e.dst) g ON g.dst = v.n_nationkey WHERE (SELECT max(i) FROM pr) < {rounds})
-SELECT id, round({value}, 9) AS rank FROM pr WHERE i = {rounds}"""
 
-
-@query("pagerank_symbols", _rank_sql(20, True, False))
+@query("pagerank_symbols", rank_sql(20, True, False, _NATIONS, _TRADE))
 def pagerank_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(*trade(spark, sf_dir), rounds=20).select("id", F.round("rank", 9).alias("rank"))
-
-
-@query("pagerank_files", _rank_sql(30, False, True))
-def pagerank_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(*trade(spark, sf_dir), rounds=30, spread_dangling=False, scale_to_max=True).select("id", F.round("rank", 9).alias("rank"))
-
-
-@query("scc_cycles", f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {_TRADE} WHERE src <> dst), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT min(b.dst) AS component, a.src AS member FROM r a JOIN r b ON a.src = b.src AND a.dst = b.dst JOIN r c ON c.src = b.dst AND c.dst = a.src GROUP BY a.src")
-def scc_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(trade(spark, sf_dir)[1]).select("component", F.explode("members").alias("member"))
-
-
-@query("dependency_importers", f"SELECT DISTINCT src FROM {_TRADE} WHERE dst = 3")
-def dependency_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.importers(trade(spark, sf_dir)[1], 3)
-
-
-@query("pagerank_symbols_whole", _rank_sql(20, True, False, _WHOLE))
-def pagerank_symbols_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(*whole_trade(spark, sf_dir), rounds=20).select("id", F.round("rank", 9).alias("rank"))
-
-
-@query("pagerank_files_whole", _rank_sql(30, False, True, _WHOLE))
-def pagerank_files_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(*whole_trade(spark, sf_dir), rounds=30, spread_dangling=False, scale_to_max=True).select("id", F.round("rank", 9).alias("rank"))
-
+    nations, sales = trade(spark, sf_dir)
+    return graph.pagerank(nations, sales.distinct(), rounds=20).select("id", F.round("rank", 9).alias("rank"))
 
-@query("scc_cycles_whole", f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {_WHOLE} WHERE src <> dst), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT min(dst) AS component, src AS member FROM (SELECT a.src, a.dst FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src) GROUP BY src HAVING count(DISTINCT dst) > 1")
-def scc_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(whole_trade(spark, sf_dir)[1]).select("component", F.explode("members").alias("member"))
 
+@query("pagerank_parallel_edges", rank_sql(20, True, False, _NATIONS, _SALES))
+def pagerank_parallel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sale counts: parallel edges are summed before anything moves."""
+    nations, sales = trade(spark, sf_dir)
+    return graph.pagerank(nations, sales, rounds=20, in_memory=0).select("id", F.round("rank", 9).alias("rank"))
 
-@query("dependency_importers_whole", f"SELECT DISTINCT dst, src FROM {_WHOLE} WHERE dst IS NOT NULL AND src IS NOT NULL")
-def dependency_importers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.all_importers(whole_trade(spark, sf_dir)[1])
 
-
-_HREFS = "(SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages)"
-
-
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
-
-
-_URLPATH = "regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1)"
-
-
-@query("import_resolution", f"SELECT page_id, target, min(u) AS dst FROM {_HREFS} LEFT JOIN (SELECT DISTINCT {_URLPATH} AS u FROM pages) ON u = target GROUP BY page_id, target")
-def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("relative_path"))
-    links = _links(spark, sf_dir).distinct().select(F.col("page_id").alias("src"), F.lit("html").alias("language"), "target")
-    return graph.resolve(links, known).select(F.col("src").alias("page_id"), "target", "dst")
-
-
-@query("unresolved_imports", f"SELECT DISTINCT page_id, target FROM {_HREFS} WHERE target NOT IN (SELECT {_URLPATH} FROM pages) AND NOT regexp_matches(target, '^https?://')")
-def unresolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return import_resolution(spark, sf_dir).where(F.col("dst").isNull() & ~F.col("target").rlike("^https?://")).select("page_id", "target")
-
-
-@query("external_deps", f"SELECT DISTINCT CASE WHEN t LIKE '@%' THEN regexp_extract(t, '^(@[^/]+(?:/[^/]+)?)', 1) ELSE string_split(t, '/')[1] END AS package FROM (SELECT regexp_replace(target, '^/', '') AS t FROM {_HREFS})")
-def external_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(spark, sf_dir).select(paths.package_name(F.regexp_replace("target", "^/", "")).alias("package")).distinct()
-
-
-@query("dependency_stats", f"SELECT count(*) AS links, count(DISTINCT page_id) AS files, count(DISTINCT target) AS targets, count(*) FILTER (regexp_matches(target, '^https?://')) AS external FROM {_HREFS}")
-def dependency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _links(spark, sf_dir)
-    return e.agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("files"), F.count_distinct("target").alias("targets"), F.count_if(F.col("target").rlike("^https?://")).alias("external"))
-
-
-@query("embedding_topk", "SELECT vec_id, round(score, 5) AS score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings WHERE vec_id <> 0) ORDER BY round(score, 5) DESC, vec_id LIMIT 10")
+@query("embedding_topk", "SELECT vec_id, neighbour, score FROM (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour) <= 10")
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return vectors.most_similar(e.where("vec_id <> 0"), e.where("vec_id = 0"), 10)
-
-
-@query("embedding_topk_whole", "SELECT vec_id, neighbour, score FROM (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour) <= 10")
-def embedding_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector."""
     return vectors.all_most_similar(table(spark, sf_dir, "embeddings"), 10)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, tokens
@@ -40,7 +40,7 @@ _EST = {m: _estimate_sql(m, r) for m, r in zip(tokens.MODELS, tokens.RATIOS["est
 
 @query("token_counts_estimate", "SELECT doc_id, " + ", ".join(f"{s} AS {m}" for m, s in _EST.items()) + f", {_estimate_sql('codellama', 3.2)} AS codellama FROM documents")
 def token_counts_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *(tokens.count(F.col("text"), m, "estimate").alias(m) for m in (*tokens.MODELS, "codellama")))
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.estimates(F.col("text"), (*tokens.MODELS, "codellama")).alias("e")).select("doc_id", "e.*")
 
 
 @query(
@@ -69,13 +69,8 @@ def line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEEP = "least(4, length(v) // 4)"
 
 
-@query("redact", f"SELECT doc_id, CASE WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE substring(v, 1, {_KEEP}) || repeat('*', length(v) - 2 * {_KEEP}) || substring(v, length(v) - {_KEEP} + 1, {_KEEP}) END AS redacted FROM (SELECT doc_id, string_split(text, ' ')[1] AS v FROM documents)")
+@query("redact", f"SELECT doc_id, CASE WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE substring(v, 1, {_KEEP}) || repeat('*', length(v) - 2 * {_KEEP}) || substring(v, length(v) - {_KEEP} + 1, {_KEEP}) END AS redacted FROM (SELECT doc_id, text AS v FROM documents)")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.split("text", " ")[0]).alias("redacted"))
-
-
-@query("redact_whole", f"SELECT doc_id, CASE WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE substring(v, 1, {_KEEP}) || repeat('*', length(v) - 2 * {_KEEP}) || substring(v, length(v) - {_KEEP} + 1, {_KEEP}) END AS redacted FROM (SELECT doc_id, text AS v FROM documents)")
-def redact_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
 
@@ -87,32 +82,45 @@ def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOON = "replace(replace(replace(replace(replace(v, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
 
 
-@query("toon_escape", f"SELECT page_id, CASE WHEN v = '' OR regexp_matches(v, '^\\s|\\s$') OR v IN ('true', 'false', 'null') OR try_cast(v AS DOUBLE) IS NOT NULL OR regexp_matches(v, '[,|\\n\\r\\t\"]') THEN '\"' || {_TOON} || '\"' ELSE v END AS escaped FROM (SELECT page_id, url || ' ' || html AS v FROM pages)")
+_BARE = "(SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || ' ' || html WHEN 1 THEN 'page_' || page_id WHEN 2 THEN '' || page_id WHEN 3 THEN 'two words' ELSE 'true' END AS v FROM pages)"
+
+
+@query("toon_escape", f"SELECT page_id, CASE page_id % 5 WHEN 1 THEN v WHEN 3 THEN v WHEN 0 THEN CASE WHEN contains(v, chr(34)) OR contains(v, ',') OR contains(v, '|') OR contains(v, chr(10)) THEN '\"' || {_TOON} || '\"' ELSE v END ELSE '\"' || v || '\"' END AS escaped FROM {_BARE}")
 def toon_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.toon_escape(F.concat_ws(" ", "url", "html")).alias("escaped"))
+    kind = F.col("page_id") % 5
+    v = F.when(kind == 0, F.concat_ws(" ", "url", "html")).when(kind == 1, F.concat(F.lit("page_"), "page_id")).when(kind == 2, F.col("page_id").cast("string")).when(kind == 3, "two words").otherwise("true")
+    return table(spark, sf_dir, "pages").select("page_id", text.toon_escape(v).alias("escaped"))
 
 
 _LINES = "(CASE WHEN {0} = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(regexp_replace({0}, '\\n$', ''), chr(10)) END)"
+#: Texts with a blank line and a comment behind every sentence.
+_SPACED = "replace(text, '. ', '.  ' || chr(10) || '  ' || chr(10) || chr(10) || chr(10) || ' // a note' || chr(10) || '/* one */' || chr(10))"
 
 
-@query("remove_empty_lines", f"SELECT doc_id, coalesce(array_to_string(list_filter({_LINES.format('text')}, lambda x: NOT regexp_matches(x, '^\\s*$')), chr(10)), '') AS text FROM documents")
+def _spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.withColumn("text", F.replace("text", F.lit(". "), F.lit(".  \n  \n\n\n // a note\n/* one */\n")))
+
+
+@query("remove_empty_lines", f"SELECT doc_id, coalesce(array_to_string(list_filter({_LINES.format('text')}, lambda x: trim(x) <> ''), chr(10)), '') AS text FROM (SELECT doc_id, {_SPACED} AS text FROM documents)")
 def remove_empty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.remove_empty_lines(F.col("text")).alias("text"))
+    return _spaced(spark, sf_dir).select("doc_id", text.remove_empty_lines(F.col("text")).alias("text"))
 
 
-@query("compress_minimal", f"SELECT doc_id, regexp_replace(array_to_string(list_transform({_LINES.format('text')}, lambda x: regexp_replace(x, '\\s+$', '')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM documents")
+@query("compress_minimal", f"SELECT doc_id, regexp_replace(array_to_string(list_transform({_LINES.format('text')}, lambda x: rtrim(x)), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM (SELECT doc_id, {_SPACED} AS text FROM documents)")
 def compress_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.compress_minimal(F.col("text")).alias("text"))
+    return _spaced(spark, sf_dir).select("doc_id", text.compress_minimal(F.col("text")).alias("text"))
 
 
-@query("compress_balanced", f"SELECT doc_id, coalesce(array_to_string(list_filter({_LINES.format('text')}, lambda x: NOT regexp_matches(x, '^\\s*$') AND NOT regexp_matches(x, '^\\s*(//|/\\*|\\*)')), chr(10)), '') AS text FROM documents")
+@query("compress_balanced", f"SELECT doc_id, coalesce(array_to_string(list_filter({_LINES.format('text')}, lambda x: trim(x) NOT IN ('', '// a note', '/* one */') AND NOT starts_with(trim(x), '*') AND NOT starts_with(trim(x), '//')), chr(10)), '') AS text FROM (SELECT doc_id, {_SPACED} AS text FROM documents)")
 def compress_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.compress_balanced(F.col("text"), F.col("lang")).alias("text"))
+    return _spaced(spark, sf_dir).select("doc_id", text.compress_balanced(F.col("text"), F.col("lang")).alias("text"))
 
 
-@query("truncate_base64", "SELECT page_id, regexp_replace(regexp_replace(html, '(data:[^;]+;base64,)', '\\1[BASE64_TRUNCATED]', 'g'), '([A-Za-z0-9+/]{50})(?:[A-Za-z0-9+/]{51,}={0,2}|[A-Za-z0-9+/]{50}={1,2})', '\\1...[BASE64_TRUNCATED]', 'g') AS html FROM pages")
+@query("truncate_base64", "SELECT page_id, html || ' <img src=\"data:image/png;base64,[BASE64_TRUNCATED]' || CASE WHEN k >= 4 THEN left(run, 50) || '...[BASE64_TRUNCATED]' ELSE run || '==' END || '\"> ' AS html FROM (SELECT page_id, html, 1 + page_id % 5 AS k, repeat(md5(html), CAST(1 + page_id % 5 AS INTEGER)) AS run FROM pages)")
 def truncate_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.truncate_base64(F.col("html")).alias("html"))
+    image = F.concat(F.lit(' <img src="data:image/png;base64,'), F.repeat(F.md5("html"), (F.col("page_id") % 5 + 1).cast("int")), F.lit('=="> '))
+    return table(spark, sf_dir, "pages").select("page_id", text.truncate_base64(F.concat("html", image)).alias("html"))
 
 
 @query("remove_comments")
@@ -136,10 +144,11 @@ def path_to_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", paths.dotted_module(p).alias("module"))
 
 
-@query("normalize_path", f"SELECT page_id, array_to_string(list_filter(string_split({_PATH}, '/'), lambda x: x NOT IN ('', '.', '..')), '/') AS path FROM pages")
+@query("normalize_path", f"SELECT page_id, concat_ws('/', 'x', nullif(array_to_string(list_filter(string_split({_PATH}, '/'), lambda x: x <> ''), '/'), ''), 'end') AS path FROM pages")
 def normalize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.regexp_extract("url", "^[a-z]+://[^/?#]+/?([^?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", paths.normalise(F.concat(F.lit("./"), p)).alias("path"))
+    winding = F.concat(F.when(F.col("page_id") % 2 == 0, "../../").otherwise("./"), F.lit("x/./y"), "page_id", F.lit("/../"), p, F.lit("//end/z/.."))
+    return table(spark, sf_dir, "pages").select("page_id", paths.normalise(winding).alias("path"))
 
 
 @query("package_name", f"SELECT page_id, CASE WHEN s LIKE '@%' THEN regexp_extract(s, '^(@[^/]+(?:/[^/]+)?)', 1) ELSE string_split(s, '/')[1] END AS package FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '@' ELSE '' END || {_PATH} AS s FROM pages)")
@@ -148,15 +157,25 @@ def package_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", paths.package_name(F.concat(F.when(F.col("page_id") % 2 == 0, "@").otherwise(""), p)).alias("package"))
 
 
-@query("is_remote_url", "SELECT page_id, regexp_matches(url, '^(https?://|git://|ssh://|git@|(github|gitlab|bitbucket):)') AS remote, regexp_matches(p, '^[^/]+/[^/]+$') AND NOT regexp_matches(p, '^[./]') AS path_remote FROM (SELECT page_id, url, " + _PATH + " AS p FROM pages)")
+#: Addresses of six shapes, by the id of the page.
+_SHAPES = ("https://github.com/o{}/n{}/tree/main/src/x", "git@gitlab.com:o{}/n{}.git", "bitbucket:o{}/n{}", "o{}/n{}", "./o{}/n{}", "https://git.example.org/o{}/n{}")
+
+
+def _address() -> Column:
+    shape = F.get(F.array(*map(F.lit, _SHAPES)), (F.col("page_id") % 6).cast("int"))
+    return F.replace(shape, F.lit("{}"), F.col("page_id").cast("string"))
+
+
+@query("is_remote_url", "SELECT page_id, page_id % 6 <> 4 AS remote FROM pages")
 def is_remote_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.regexp_extract("url", "^[a-z]+://[^/?#]+/?([^?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", paths.is_remote(F.col("url")).alias("remote"), paths.is_remote(p).alias("path_remote"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.is_remote(_address()).alias("remote"))
 
 
-@query("remote_parse", "SELECT page_id, 'generic' AS provider, nullif(string_split(r, '/')[1], '') AS owner, nullif(regexp_replace(string_split(r, '/')[2], '\\.git$', ''), '') AS name FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]+/?', '') AS r FROM pages)")
+@query("remote_parse", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' WHEN 2 THEN 'bitbucket' WHEN 3 THEN 'github' ELSE 'generic' END AS provider, 'o' || page_id AS owner, 'n' || page_id AS name, CASE WHEN page_id % 6 = 0 THEN 'main' END AS branch, CASE WHEN page_id % 6 = 0 THEN 'src/x' END AS subdir FROM pages WHERE page_id % 6 <> 4 UNION ALL SELECT page_id, 'generic', NULL, NULL, NULL, NULL FROM pages WHERE page_id % 6 = 4")
 def remote_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", paths.remote(F.col("url")).alias("r")).select("page_id", "r.provider", "r.owner", "r.name")
+    r = table(spark, sf_dir, "pages").select("page_id", _address().alias("a")).select("page_id", paths.is_remote(F.col("a")).alias("ok"), paths.remote(F.col("a")).alias("r"))
+    some = lambda c: F.when(F.col("ok"), F.col(f"r.{c}")).alias(c)
+    return r.select("page_id", F.when(F.col("ok"), F.col("r.provider")).otherwise("generic").alias("provider"), *map(some, ("owner", "name", "branch", "subdir")))
 
 
 def _ext_sql(table_: dict[str, str]) -> str:
@@ -183,3 +202,45 @@ def size_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("epoch_date", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def epoch_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.epoch_date(F.unix_timestamp("ts")).alias("day"))
+
+
+@query("mermaid_id", "SELECT page_id, replace(replace(u, '-', '_'), '.', '_') AS id FROM (SELECT page_id, url AS u FROM pages)")
+def mermaid_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", paths.mermaid_id(F.col("url")).alias("id"))
+
+
+@query("content_hash", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_alike FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with one hash are one content."""
+    d = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("h"))
+    return d.join(d.groupBy("h").agg(F.min("doc_id").alias("first_alike")), "h").select("doc_id", "first_alike")
+
+
+@query("symbol_line_count", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey >= l_partkey THEN l_suppkey - l_partkey + 1 ELSE 1 END AS lines FROM lineitem")
+def symbol_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.span_lines(F.col("l_partkey"), F.col("l_suppkey")).cast("long").alias("lines"))
+
+
+_PROFILED = {p: _ext_sql(t) for p, t in paths.PROFILES.items()}
+
+
+@query("language_profiles", f"SELECT doc_id, {_PROFILED['binding']} AS binding, {_PROFILED['mmap']} AS mmap, {_PROFILED['wasm']} AS wasm, NULL::VARCHAR AS wasm_upper FROM {_NAMED}")
+def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.concat(F.lit("src/file."), F.get(F.array(*map(F.lit, _EXTS)), (F.col("doc_id") % len(_EXTS)).cast("int")))
+    upper = F.concat(F.lit("src/file."), F.upper(F.regexp_extract(p, r"\.(.*)$", 1)), F.lit("_"))
+    return table(spark, sf_dir, "documents").select("doc_id", *(paths.language(p, k).alias(k) for k in ("binding", "mmap", "wasm")), paths.language(upper, "wasm").alias("wasm_upper"))
+
+
+@query("process_file", f"SELECT doc_id, {_PROFILED['wasm']} AS language, strlen(text) AS size_bytes, " + ", ".join(f"CAST(ceil(strlen(text)::DOUBLE / {r}::DOUBLE) AS BIGINT) AS {m}" for m, r in zip(tokens.MODELS, tokens.RATIOS["wasm"])) + f" FROM {_NAMED} JOIN documents USING (doc_id)")
+def process_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.concat(F.lit("src/file."), F.get(F.array(*map(F.lit, _EXTS)), (F.col("doc_id") % len(_EXTS)).cast("int")))
+    r = table(spark, sf_dir, "documents").select("doc_id", text.process_file(p, F.col("text")).alias("f"))
+    return r.select("doc_id", "f.language", "f.size_bytes", "f.token_count.*")
+
+
+@query("is_binary_content", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN strlen(text) < 720 ELSE false END AS is_binary FROM documents WHERE strlen(text) >= 0")
+def is_binary_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the texts with a NUL in front, one with 80 control characters, which are a tenth of up to 800 bytes, two plain."""
+    kind = F.col("doc_id") % 4
+    raw = F.when(kind == 0, F.concat(F.unhex(F.lit("00")), F.encode("text", "utf-8"))).when(kind == 1, F.concat(F.unhex(F.repeat(F.lit("01"), 80)), F.encode("text", "utf-8"))).otherwise(F.encode("text", "utf-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_binary_content(raw).alias("is_binary"))

@@ -75,7 +75,7 @@ def listing(root: str, max_bytes: int = MAX_BYTES, honour_ignores: bool = True)
             if e.is_dir():
                 if e.name != ".git":
                     yield from walk(rel, rules)
-            elif e.stat().st_size <= max_bytes and rel.rsplit(".", 1)[-1].lower() not in paths.BINARY:
+            elif e.stat().st_size <= max_bytes and os.path.splitext(e.name)[1][1:].lower() not in paths.BINARY:
                 yield rel, e.stat().st_size, int(e.stat().st_mtime)
 
     yield from walk("", [])

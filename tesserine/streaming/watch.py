@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 
 def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of its own only where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserine-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserine.functions import paths
-from tesserine.operators import changes, chunking, filters, graph, ranking, render, security, symbols, vectors
+from tesserine.functions import paths, tokens
+from tesserine.operators import changes, chunking, filters, graph, imports, ranking, render, repomap, security, symbols, vectors
 from tesserine.plans import catalog, graph_queries
 
 
@@ -36,16 +36,18 @@ def numpy_pagerank(n, edges, rounds, spread):
     return r
 
 
+@pytest.mark.parametrize("in_memory", [0, 1000])
 @pytest.mark.parametrize("spread", [True, False])
-def test_pagerank(spark, spread):
+def test_pagerank(spark, spread, in_memory):
     e = [(0, 1), (1, 2), (0, 2), (0, 2), (2, 2)]
-    got = {r.id: r.rank for r in graph.pagerank(spark.range(4), spark.createDataFrame([*e, (0, 99)], "src long, dst long"), rounds=6, spread_dangling=spread).collect()}
+    got = {r.id: r.rank for r in graph.pagerank(spark.range(4), spark.createDataFrame([*e, (0, 99)], "src long, dst long"), rounds=6, spread_dangling=spread, in_memory=in_memory).collect()}
     assert np.allclose([got[i] for i in range(4)], numpy_pagerank(4, e, 6, spread))
 
 
-def test_cycles(spark):
+@pytest.mark.parametrize("in_memory", [0, 1000])
+def test_cycles(spark, in_memory):
     e = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 1), (8, 9)]
-    got = {(r.component, tuple(r.members)) for r in graph.cycles(spark.createDataFrame(e, "src long, dst long")).collect()}
+    got = {(r.component, tuple(r.members)) for r in graph.cycles(spark.createDataFrame(e, "src long, dst long"), in_memory=in_memory).collect()}
     assert got == {(1, (1, 2, 3)), (4, (4, 5))}
     assert graph.cycles(spark.createDataFrame([(1, 2)], "src long, dst long")).count() == 0
 
@@ -175,14 +177,14 @@ def test_similarity(spark):
     assert [(r.vec_id, r.score) for r in vectors.most_similar(d.where("vec_id > 0"), d.where("vec_id = 0"), 2).collect()] == [(1, 1.0), (3, 0.70711)]
 
 
-def test_whole_trade_graph(spark, sf):
+def test_trade_graph(spark, sf):
     rows = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()]
     customer, supplier, orders = (dict(rows(*a)) for a in (("customer", "c_custkey", "c_nationkey"), ("supplier", "s_suppkey", "s_nationkey"), ("orders", "o_orderkey", "o_custkey")))
     want = {(customer[orders[o]], supplier[s]) for o, s in rows("lineitem", "l_orderkey", "l_suppkey") if o in orders and orders[o] in customer and s in supplier}
-    ids, edges = graph_queries.whole_trade(spark, sf)
-    assert {tuple(r) for r in edges.collect()} == want and len(want) > graph_queries.trade(spark, sf)[1].count()
+    ids, sales = graph_queries.trade(spark, sf)
+    assert {tuple(r) for r in sales.distinct().collect()} == want
     n = ids.count()
-    got = {r.id: r.rank for r in catalog.queries()["pagerank_symbols_whole"](spark, sf).collect()}
+    got = {r.id: r.rank for r in catalog.queries()["pagerank_symbols"](spark, sf).collect()}
     assert np.allclose([got[i] for i in range(n)], numpy_pagerank(n, sorted(want), 20, True), atol=1e-8)
 
 
@@ -211,7 +213,7 @@ def test_importers_of_every_target(spark):
 
 def test_whole_texts_are_redacted(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = {r.doc_id: r.redacted for r in catalog.queries()["redact_whole"](spark, sf).collect()}
+    got = {r.doc_id: r.redacted for r in catalog.queries()["redact"](spark, sf).collect()}
     assert got.keys() == docs.keys() and any(" " in (t or "") for t in docs.values())
     for i, t in docs.items():
         if t is None:
@@ -219,3 +221,55 @@ def test_whole_texts_are_redacted(spark, sf):
         else:
             keep = min(4, len(t) // 4) if len(t) > 8 else 0
             assert got[i] == t[:keep] + "*" * (len(t) - 2 * keep) + t[len(t) - keep :]
+
+
+@pytest.mark.parametrize(
+    ("language", "path", "code", "want"),
+    [
+        ("python", "p/a.py", "import a.b as c, d\nfrom . import x, y as z\nfrom ..q import (\n  u,\n  v,\n)\nfrom k.l import *\n# import no\n", [("a.b", []), ("d", []), ("./x", []), ("./y", []), ("../q", ["u", "v"]), ("k.l", ["*"])]),
+        ("typescript", "a.ts", "import {\n  a,\n  b as c\n} from './x';\nimport d, * as e from \"y\";\nimport 'z';\nexport * from '../w';\nconst q = require('@s/p/f');\nimport('l');\n// import n from 'no'\n/* require('no') */\n", [("./x", ["a", "b"]), ("y", ["d", "*"]), ("z", []), ("../w", ["*"]), ("@s/p/f", []), ("l", [])]),
+        ("rust", "src/b/m.rs", "use std::{fs, io::{self, Read as R}};\npub use super::k::go;\nuse crate::a;\nmod inner;\n", [("std::fs", ["fs"]), ("std::io", ["io"]), ("std::io::Read", ["Read"]), ("crate::b::k::go", ["go"]), ("crate::a", ["a"]), ("crate::b::m::inner", ["inner"])]),
+        ("go", "m.go", 'import "fmt"\nimport (\n  x "a/b"\n  "os"\n)\n', [("fmt", []), ("a/b", []), ("os", [])]),
+        ("java", "A.java", "import java.util.List;\nimport static a.B.*;\n", [("java.util.List", ["List"]), ("a.B", ["*"])]),
+        ("cobol", "x", "import a", []), ("python", "x", None, []), ("python", "x", "", []),
+    ],
+)
+def test_imports(language, path, code, want):
+    assert [(t, n) for t, n, _ in imports.parse(code, language, path)] == want
+
+
+def test_links_of_a_tree(spark):
+    f = files(spark, [("web/a.js", "javascript", "import b from './b'\nimport c from '../lib'\nimport r from 'react'\nimport g from './gone'"), ("web/b.ts", "typescript", "x"), ("lib/index.ts", "typescript", ""), ("app/p/q.py", "python", "import p.r\nimport numpy\nfrom p.r.s import t"), ("app/p/r/__init__.py", "python", ""), ("src/main.rs", "rust", "mod k;\nuse crate::k::T;"), ("src/k.rs", "rust", "use std::fs;")])
+    got = {(r.src, r.target, r.dst, r.external) for r in imports.links(f).collect()}
+    assert got == {
+        ("web/a.js", "./b", "web/b.ts", False), ("web/a.js", "../lib", "lib/index.ts", False), ("web/a.js", "react", None, True), ("web/a.js", "./gone", None, False),
+        ("app/p/q.py", "p.r", "app/p/r/__init__.py", False), ("app/p/q.py", "numpy", None, True), ("app/p/q.py", "p.r.s", "app/p/r/__init__.py", False),
+        ("src/main.rs", "crate::k", "src/k.rs", False), ("src/main.rs", "crate::k::T", "src/k.rs", False), ("src/k.rs", "std::fs", None, True),
+    }
+    assert {r.package for r in imports.external_packages(f, imports.links(f)).collect()} == {"react", "numpy", "std"}
+
+
+def test_names_that_no_package_can_have(spark):
+    d = spark.createDataFrame([("@types/node/fs", "typescript"), ("node:fs", "javascript"), ("github.com/a/b/c", "go"), ("9bad", "python"), ("{a}", "javascript"), ("serde::de", "rust")], "t string, l string")
+    assert [r[0] for r in d.select(imports.package(F.col("t"), F.col("l"))).collect()] == ["@types/node", "fs", "github.com/a/b", None, None, "serde"]
+
+
+def test_map_summary_and_order(spark):
+    f = files(spark, [("src/a.py", "python", "import b\ndef run():\n    pass\n"), ("src/b.py", "python", "class B:\n    pass\n"), ("c.py", "python", "import b\n")])
+    s = repomap.ranked_symbols(f, symbols.extract(f))
+    assert {r.name for r in s.collect()} == {"run", "B"}
+    assert repomap.summary(f, s).splitlines()[0] == "3 files, 6 lines, mostly python" and repomap.estimate(2, 3) == 180
+    order = repomap.file_index(f.withColumn("importance", F.when(F.col("seq") == 1, 0.9).otherwise(0.4))).orderBy("position").collect()
+    assert [(r.relative_path, r.bucket) for r in order] == [("src/b.py", "critical"), ("src/a.py", "normal"), ("c.py", "normal")]
+
+
+def test_exact_tokens(spark):
+    vocabulary = pytest.importorskip("pathlib").Path("/opt/tokenizers/byte_bpe_50k.json")
+    if not vocabulary.exists():
+        pytest.skip("no vocabulary here")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(vocabulary))
+    d = spark.createDataFrame([("Hello, world!",), ("",), (None,), ("naïve " * 500,)], "x string")
+    got = [r[0] for r in d.select(tokens.exact(F.col("x"), str(vocabulary))).collect()]
+    assert got == [None if r.x is None else len(t.encode(r.x, add_special_tokens=False).ids) for r in d.collect()] and got[0] > 1

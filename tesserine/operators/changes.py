@@ -40,3 +40,42 @@ def frequency(log: DataFrame, days: int, path: str = "path", ts: str = "ts") ->
     last = log.agg(F.max(ts).alias("_last"))
     recent = log.crossJoin(F.broadcast(last)).where(F.col(ts) >= F.col("_last") - F.expr(f"INTERVAL {days} DAYS"))  # last: one row
     return recent.groupBy(path).agg(F.count("*").alias("changes"))
+
+
+class Cache:
+    """A snapshot by path that is kept up with a tree: what changed is scanned, what went is dropped."""
+
+    def __init__(self, spark, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+        self.dirty = False
+        self.clear()
+        self.dirty = False
+
+    def open(self) -> Cache:
+        """With what was saved under the path."""
+        self.rows = load(self.spark, self.path)
+        return self
+
+    def clear(self) -> None:
+        self.rows = self.spark.createDataFrame([], self.schema)
+        self.dirty = True
+
+    def update(self, scanned: DataFrame, listing: DataFrame) -> None:
+        """Rows of the scan replace those of their paths; paths that the listing lacks go."""
+        self.rows = merge(self.rows, scanned, listing)
+        self.dirty = True
+
+    def remove(self, gone: DataFrame) -> None:
+        self.rows = self.rows.join(gone.select("relative_path"), "relative_path", "left_anti")
+        self.dirty = True
+
+    def stale(self, listing: DataFrame) -> DataFrame:
+        return to_rescan(listing, self.rows)
+
+    def save(self) -> None:
+        """Written beside the old table first: the new rows may still be read from that."""
+        if self.dirty:
+            save(self.rows, f"{self.path}.next")
+            save(load(self.spark, f"{self.path}.next"), self.path)
+            self.open()
+            self.dirty = False

@@ -3,15 +3,11 @@ within the budget, are brought together."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, tokens
 from . import stats
-from .chunking import fit_budget
 
 FORMATS = ("xml", "markdown", "json", "yaml", "toon", "plain")
 
@@ -82,39 +78,6 @@ def tree_text(files: DataFrame, limit: int = 50_000) -> str:
     return "\n".join(out)
 
 
-def _within(rows: DataFrame, max_tokens: int | None, ratio: float) -> Iterator[str]:
-    """Blocks in order, fetched a partition at a time, and no more of them than the budget can hold."""
-    size = 0
-    for r in rows.toLocalIterator():
-        yield r.block
-        size += len(r.block.encode())
-        if max_tokens is not None and size / ratio > max_tokens:
-            return
-
-
 def summary(files: DataFrame, name: str) -> dict:
     t = stats.totals(files).first().asDict()
     return {"name": name, "files": t.pop("files"), "lines": t.pop("lines"), "tokens": t, "languages": [r.asDict() for r in stats.by_language(files).orderBy(F.desc("files"), "language").collect()]}
-
-
-def document(files: DataFrame, form: str = "xml", *, name: str = "corpus", order: str = "seq", max_tokens: int | None = None, numbered: bool = False) -> str:
-    """One context document.  The head comes from aggregates; blocks follow in order up to the budget."""
-    if form not in FORMATS:
-        raise ValueError(f"unknown format {form}")
-    s = summary(files, name)
-    rows = files.select(F.col(order).alias("_o"), block(F.col("relative_path"), F.col("language"), F.col("content"), form, numbered).alias("block")).orderBy("_o").select("block")
-    got = list(_within(rows, max_tokens, 4.0))
-    head = f"{s['files']} files, {s['lines']} lines, {s['tokens']['claude']} tokens"
-    if form == "json":
-        doc = json.dumps({"repository": s, "files": [json.loads(b) for b in got]}, ensure_ascii=False, indent=2)
-    elif form == "xml":
-        doc = f'<context name="{name}">\n<overview>{head}</overview>\n<files>\n' + "\n".join(got) + "\n</files>\n</context>"
-    elif form == "markdown":
-        doc = f"# {name}\n\n{head}\n\n" + "\n\n".join(got)
-    elif form == "yaml":
-        doc = f"name: {json.dumps(name)}\nsummary: {json.dumps(head)}\nfiles:\n" + "\n".join(got)
-    elif form == "toon":
-        doc = f"name: {name}\nsummary: {head}\nfiles[{len(got)}]{{path,language,tokens,content}}:\n" + "\n".join("  " + b for b in got)
-    else:
-        doc = f"{name}\n{head}\n\n" + "\n\n".join(got)
-    return doc if max_tokens is None else fit_budget(doc, max_tokens)

@@ -35,6 +35,49 @@ def _clean(doc: str) -> str:
     return " ".join(x for x in lines if x)
 
 
+def _head(n: ast.AST, lines: list[str]) -> str:
+    """The declaration up to its colon, over however many lines."""
+    body = n.body[0]
+    if body.lineno == n.lineno:
+        own = [lines[n.lineno - 1].encode()[n.col_offset : body.col_offset].decode(errors="replace")]
+    else:
+        own = lines[n.lineno - 1 : body.lineno - 1] if body.lineno - 1 > n.lineno - 1 else lines[n.lineno - 1 : n.lineno]
+    kept = []
+    for x in own:
+        if kept and kept[-1].endswith(":") or x.strip().startswith(("#", "@")):
+            break
+        kept.append(re.sub(r"\s+#.*$", "", x.strip()))
+    return re.sub(r"\(\s+", "(", re.sub(r"\s+\)", ")", " ".join(kept))).rstrip().removesuffix(":")
+
+
+_DEF = re.compile(r"^(\s*)(?:(class)|(?:async\s+)?def)\s+([A-Za-z_]\w*)")
+_PY_IMPORT = re.compile(r"^(?:import\s+\S.*|from\s+\S+\s+import\s+\S.*)$")
+
+
+def _lines_of_python(text: str) -> list[tuple]:
+    """Declarations by line, for text that Python's own parser refuses: a block ends where its indent does."""
+    out, lines = [], text.splitlines()
+    holders: list[tuple[int, str]] = []
+    for i, line in enumerate(lines):
+        if _PY_IMPORT.match(line):
+            out.append((line.strip(), "import", line.strip(), None, i + 1, i + 1, None))
+        if not (m := _DEF.match(line)):
+            continue
+        indent = len(m.group(1).expandtabs())
+        while holders and holders[-1][0] >= indent:
+            holders.pop()
+        end = i
+        for j in range(i + 1, len(lines)):
+            if lines[j].strip() and len(lines[j]) - len(lines[j].lstrip()) <= indent:
+                break
+            end = j if lines[j].strip() else end
+        kind = "class" if m.group(2) else "method" if holders else "function"
+        out.append((m.group(3), kind, line.strip().removesuffix(":"), None, i + 1, end + 1, holders[-1][1] if holders and kind == "method" else None))
+        if m.group(2):
+            holders.append((indent, m.group(3)))
+    return out
+
+
 def _python(text: str) -> list[tuple]:
     out, lines = [], text.splitlines()
 
@@ -43,7 +86,7 @@ def _python(text: str) -> list[tuple]:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 kind = "class" if isinstance(n, ast.ClassDef) else "method" if parent else "function"
                 doc = ast.get_docstring(n)
-                out.append((n.name, kind, re.split(r":\s*$", lines[n.lineno - 1].strip())[0], doc, n.lineno, n.end_lineno, parent))
+                out.append((n.name, kind, _head(n, lines), doc, n.lineno, n.end_lineno, parent))
                 walk(n, n.name if kind == "class" else None)
             elif isinstance(n, (ast.Import, ast.ImportFrom)) and node is tree:
                 out.append((ast.unparse(n), "import", ast.unparse(n), None, n.lineno, n.end_lineno, None))
@@ -71,7 +114,12 @@ def _scanned(text: str, language: str) -> list[tuple]:
             block = block or line.startswith("import (")
             continue
         if depth == 0 and imports.match(line):
-            out.append((raw[i].strip(), "import", raw[i].strip(), None, i + 1, i + 1, None))
+            end, level = i, line.count("{") - line.count("}")
+            while end + 1 < len(lines) and (level > 0 or (language in ("rust", "java") and ";" not in lines[end])):
+                end += 1
+                level += lines[end].count("{") - lines[end].count("}")
+            whole = " ".join(x.strip() for x in raw[i : end + 1])
+            out.append((whole, "import", whole, None, i + 1, end + 1, None))
         for kind, p in _COMPILED[language]:
             m = p.match(line)
             if m:
@@ -90,7 +138,10 @@ def _scanned(text: str, language: str) -> list[tuple]:
                     j -= 1
                 text_doc = _clean("\n".join(x for x in doc if not re.match(r"\s*(@|#\[)", x)))
                 parent = holders[-1][0] if kind == "method" and holders else None
-                out.append((m.group(1), kind, raw[i].split("{")[0].strip(), text_doc or None, i + 1, end + 1, parent))
+                stop = next((j for j in range(i, end + 1) if "{" in lines[j] or ";" in lines[j]), i)
+                last = re.split(r"[{;]", lines[stop])[0]
+                head = " ".join(x.strip() for x in [*raw[i:stop], raw[stop][: len(last)]])
+                out.append((m.group(1), kind, re.sub(r"\(\s+", "(", re.sub(r",?\s+\)", ")", head)).strip(), text_doc or None, i + 1, end + 1, parent))
                 if kind in ("class", "interface", "enum", "trait", "struct"):
                     holders.append((m.group(1), end))
                 break
@@ -102,7 +153,7 @@ def _scanned(text: str, language: str) -> list[tuple]:
 
 def parse(text: str | None, language: str | None) -> list[tuple]:
     """(name, kind, signature, docstring, start, end, parent) of a file's declarations and imports;
-    none for other languages, or where Python can't be parsed."""
+    none for other languages.  Python that can't be parsed is read line by line."""
     language = {"jsx": "javascript", "tsx": "typescript"}.get(language or "", language)
     if not text:
         return []
@@ -110,7 +161,7 @@ def parse(text: str | None, language: str | None) -> list[tuple]:
         try:
             return _python(text)
         except (SyntaxError, ValueError, RecursionError):
-            return []
+            return _lines_of_python(text)
     return _scanned(text, language) if language in _COMPILED else []
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,11 +61,57 @@ def status(spark: SparkSession, root: str) -> DataFrame:
 
 
 def diff(spark: SparkSession, root: str, old: str, new: str) -> DataFrame:
+    """(path, status, added, removed) of each file that differs; no counts for binary files."""
+    kinds = {x.split("\t")[-1]: _STATUS.get(x[0], "unknown") for x in git(root, "diff", "--no-renames", "--name-status", old, new).splitlines() if x}
     rows = []
-    for x in git(root, "diff", "--numstat", old, new).splitlines():
+    for x in git(root, "diff", "--no-renames", "--numstat", old, new).splitlines():
         a, d, p = x.split("\t", 2)
-        rows.append((p, None if a == "-" else int(a), None if d == "-" else int(d)))
-    return spark.createDataFrame(rows, "path string, added long, removed long")
+        rows.append((p, kinds.get(p, "unknown"), None if a == "-" else int(a), None if d == "-" else int(d)))
+    return spark.createDataFrame(rows, "path string, status string, added long, removed long")
+
+
+def is_repo(root: str) -> bool:
+    return subprocess.run(["git", "-C", root, "rev-parse", "--git-dir"], capture_output=True).returncode == 0
+
+
+def tracked(spark: SparkSession, root: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in git(root, "ls-files", "-z").split("\0") if x], "path string")
+
+
+def diff_text(root: str, old: str, new: str, path: str) -> str:
+    return git(root, "diff", old, new, "--", path)
+
+
+def has_changes(root: str, path: str) -> bool:
+    return bool(git(root, "status", "--porcelain", "--", path).strip())
+
+
+def last_commit(root: str, path: str) -> tuple[str, str, str] | None:
+    """(short hash, date, message) of the last commit that changed a file, or None."""
+    out = git(root, "log", "-1", "--date=short", "--format=%h%x1f%ad%x1f%s", "--", path).strip()
+    return tuple(out.split("\x1f")) if out else None
+
+
+def short(root: str, revision: str = "HEAD") -> str:
+    return git(root, "rev-parse", "--short", revision).strip()
+
+
+_FORGES = {"github": "github.com", "gitlab": "gitlab.com", "bitbucket": "bitbucket.org"}
+
+
+def is_address(text: str) -> bool:
+    return re.match(r"(https?|git|ssh)://|git@|(github|gitlab|bitbucket):|[\w-][\w.-]*/[\w.-]+$", text) is not None
+
+
+def address(text: str) -> tuple[str, str | None, str | None]:
+    """(URL to clone, branch, folder) of an address as people write it."""
+    if m := re.match(r"(github|gitlab|bitbucket):(.+)$", text):
+        text = f"https://{_FORGES[m[1]]}/{m[2]}"
+    elif re.match(r"[\w-][\w.-]*/[\w.-]+$", text):
+        text = f"https://github.com/{text}"
+    if m := re.match(r"(https?://[^/]+/[^/]+/[^/]+)/(?:-/)?(?:tree|blob)/([^/]+)(?:/(.+))?$", text):
+        return m[1], m[2], m[3]
+    return text, None, None
 
 
 def blame(spark: SparkSession, root: str, path: str) -> DataFrame:

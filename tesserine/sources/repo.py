@@ -59,8 +59,8 @@ def ignored(path: str, is_dir: bool, rules: list[tuple[re.Pattern[str], bool, bo
     return out
 
 
-def listing(root: str, max_bytes: int = MAX_BYTES, honour_ignores: bool = True) -> Iterator[tuple[str, int, int]]:
-    """(relative path, size, mtime) in the order of the paths."""
+def listing(root: str, max_bytes: int = MAX_BYTES, honour_ignores: bool = True, hidden: bool = True) -> Iterator[tuple[str, int, int]]:
+    """(relative path, size, mtime) in the order of the paths; names that begin with a dot only if ``hidden``."""
     def walk(folder: str, rules: list) -> Iterator[tuple[str, int, int]]:
         here = os.path.join(root, folder)
         if honour_ignores:
@@ -70,7 +70,7 @@ def listing(root: str, max_bytes: int = MAX_BYTES, honour_ignores: bool = True)
                         rules = rules + ignore_rules(f.read(), folder)
         for e in sorted(os.scandir(here), key=lambda e: e.name):
             rel = f"{folder}/{e.name}" if folder else e.name
-            if e.is_symlink() or ignored(rel, e.is_dir(), rules):
+            if e.is_symlink() or (not hidden and e.name.startswith(".")) or ignored(rel, e.is_dir(), rules):
                 continue
             if e.is_dir():
                 if e.name != ".git":
@@ -92,9 +92,10 @@ class RepoReader(DataSourceReader):
         self.max_bytes = int(options.get("maxbytes", MAX_BYTES))
         self.metadata = options.get("metadata", "false") == "true"
         self.keep_unreadable = options.get("profile", "cli") == "binding"
+        self.honour, self.hidden = options.get("ignores", "true") == "true", options.get("hidden", "true") == "true"
 
     def partitions(self) -> list[Files]:
-        rows = list(listing(self.root, self.max_bytes))
+        rows = list(listing(self.root, self.max_bytes, self.honour, self.hidden))
         return [Files(rows[i : i + _PER_TASK]) for i in range(0, len(rows), _PER_TASK)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
@@ -122,11 +123,18 @@ class RepoSource(DataSource):
         return RepoReader(dict(self.options))
 
 
-def scan(spark: SparkSession, root: str, *, metadata: bool = False, profile: str = "cli", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The files of a tree in the schema of every operator; the folder must be one that all executors see."""
+def scan(spark: SparkSession, root: str, *, metadata: bool = False, profile: str = "cli", max_bytes: int = MAX_BYTES, honour_ignores: bool = True, hidden: bool = True) -> DataFrame:
+    """The files of a tree in the schema of every operator; the folder must be one that all executors see.
+    Languages are those of the profile's own table."""
     spark.dataSource.register(RepoSource)
-    d = spark.read.format(FORMAT).options(metadata=str(metadata).lower(), profile=profile, maxbytes=str(max_bytes)).load(root)
-    return d.select("relative_path", paths.language(F.col("relative_path")).alias("language"), "size_bytes", "content", F.xxhash64("relative_path").alias("seq"), "mtime")
+    said = {k: str(v).lower() for k, v in (("metadata", metadata), ("ignores", honour_ignores), ("hidden", hidden))}
+    d = spark.read.format(FORMAT).options(profile=profile, maxbytes=str(max_bytes), **said).load(root)
+    return d.select("relative_path", paths.language(F.col("relative_path"), profile).alias("language"), "size_bytes", "content", F.xxhash64("relative_path").alias("seq"), "mtime")
+
+
+def snapshot(root: str) -> dict[str, tuple[int, int]]:
+    """path -> (mtime, size) of a tree as it is now."""
+    return {p: (t, n) for p, n, t in listing(root)}
 
 
 def in_memory(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import itertools
 import random
 from collections import Counter
@@ -11,7 +12,7 @@ import pyarrow as pa
 
 from tesserine.llm import _store, licenses, minhash, packing, pii, rp_forest, toxicity
 
-from .test_llm import prose, table, vectors, words
+from .test_llm import brute_lines, prose, table, vectors, words
 
 
 def groups_of(n, pairs):
@@ -231,3 +232,55 @@ def test_tables_made_on_the_way_are_removed(spark):
     before = set(_store._made)
     out = _store.kept_only(step)
     assert out.count() == 5 and set(_store._made) - before == {out._tesserine_path}
+
+
+# ---------------------------------------------------------------- pipeline
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages over a small corpus, against the same decisions taken one by one in Python."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    item = " ".join(prose(9000, 40))
+    rows, near = [], {}
+    for i in range(120):
+        lines = [" ".join(prose(10_000 + 10 * i + k, 30)) for k in range(4)]
+        if i % 5 == 1:
+            lines.append(" ".join([*prose(i + 77, 6), *"scum vermin filth trash idiots".split()]))
+        if i % 9 == 2:
+            lines.insert(1, "all rights belong to the same people who wrote these very words for us")
+        if i % 11 == 3:
+            lines.append(item)
+        rows.append((i, "\n".join(lines)))
+    for i in (0, 12, 18, 24, 30, 42, 48, 54):  # near copies: four words of every line changed, too many for the line stage
+        w = [x.split() for x in rows[i][1].split("\n")]
+        for k, line in enumerate(w):
+            for j in range(10, min(14, len(line))):
+                line[j] = f"swap{i}x{k}x{j}"
+        near[len(rows)] = i
+        rows.append((len(rows), "\n".join(" ".join(x) for x in w)))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (None, "a row without an id has words too")]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 1)) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+
+    toxic = {i for i, t in rows if t and "scum vermin" in t}
+    left = [(i, t) for i, t in rows if i not in toxic]
+    gone = brute_lines(left)
+    cut_ = [(i, t if not any(x[0] == i for x in gone) else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)) for i, t in left]
+    cut_ = [(i, t) for i, t in cut_ if not any(x[0] == i for x in gone) or words(t)]
+    own = [(i, t) for i, t in cut_ if i is not None and words(t)]
+    sig = np.concatenate([s for _, _, s, _ in minhash.signature_block(pa.array([t for _, t in own]), minhash.BANDS * minhash.ROWS, minhash.SHINGLE)])
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(own)), 2) if (sig[a] == sig[b]).mean() >= minhash.THRESHOLD]
+    copies_ = {own[a][0] for a in groups_of(len(own), pairs)}
+    kept = [(i, t) for i, t in cut_ if i not in copies_ and not (t and item in t)]
+    want = Counter()
+    for i, t in kept:
+        want[i] += -(-len((t or "").encode()) // 4)
+    got, windows = Counter(), pipeline.run(spark, sf).collect()
+    for r in windows:
+        assert r.tokens == sum(r.lengths) <= r.capacity
+        for d, n in zip(r.doc_ids, r.lengths):
+            got[d] += n
+    assert got == +want and toxic and len({i for i, _ in gone}) > 5 and copies_ >= set(near)

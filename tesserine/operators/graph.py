@@ -188,25 +188,23 @@ def relative(source: Column, target: Column) -> Column:
 
 
 def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (src, language, target) with ``dst``: the first candidate path that is a file, else the first
+    """imports (src, language, target, ...) with ``dst``: the first candidate path that is a file, else the first
     file whose dotted module is the target or the longest beginning of it, else null.
 
-    Candidates carry their order; one equality join against the listing finds all at once.  Nulls resolve
-    to nothing; rows repeat as they do in ``imports``.
+    Candidates carry their order; one equality join against the listing finds all at once, and ``imports`` is
+    gone through once.  Nulls resolve to nothing; equal rows are one.
     """
     shapes = F.create_map(*(x for k, v in _INDEX.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     forms = F.coalesce(F.try_element_at(shapes, F.coalesce("language", F.lit(""))), F.array(*map(F.lit, _SCRIPT)))
+    parts = F.split(F.regexp_replace(F.regexp_replace("target", r"^crate::", ""), r"::|/", "."), r"\.")
+    heads = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.struct(F.col("language").alias("of"), F.array_join(F.slice(parts, F.lit(1), n), ".").alias("key")))
+    # modules are asked only by names with dots or colons, which aren't paths, and in their own language
+    named = F.col("target").rlike(r"^\w+([.:]+\w+)*$") & F.col("language").isin("python", "rust", "java")
+    tried = F.transform(forms, lambda f: F.struct(F.lit("").alias("of"), F.replace(f, F.lit("{}"), F.col("_at")).alias("key")))
+    every = F.concat(tried, F.when(named, heads).otherwise(F.array().cast("array<struct<of:string,key:string>>")))
+    placed = imports.withColumn("_at", relative(F.col("src"), F.col("target"))).select(*imports.columns, F.posexplode_outer(every).alias("_nth", "_try"))
     known = files.select(F.col("relative_path").alias("_path")).where("_path is not null").distinct()
-    dotted = F.regexp_replace(F.regexp_replace("target", r"^crate::", ""), r"::|/", ".")
-    parts = F.split(dotted, r"\.")
-    heads = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    distinct = imports.select("src", "language", "target").distinct()
-    tried = distinct.select("src", "target", F.posexplode(F.transform(forms, lambda f: F.replace(f, F.lit("{}"), relative(F.col("src"), F.col("target"))))).alias("_nth", "_key"))
-    # modules are asked only by names with a dot or colons that aren't paths, and in their own language
-    named = distinct.where(F.col("target").rlike(r"^[\w]+([.:]+[\w]+)*$") & F.col("language").isin("python", "rust", "java"))
-    mapped = named.select("src", "target", "language", F.posexplode(heads).alias("_nth", "_key"))
-    modules = known.select(paths.language(F.col("_path")).alias("language"), F.regexp_replace(paths.dotted_module(F.col("_path")), r"\.(__init__|mod)$", "").alias("_key"), "_path").groupBy("language", "_key").agg(F.min("_path").alias("_path"))
-    by_path = tried.join(known, F.col("_key") == F.col("_path")).select("src", "target", "_nth", "_path")
-    by_name = mapped.join(modules, ["language", "_key"]).select("src", "target", (F.col("_nth") + 100).alias("_nth"), "_path")
-    hit = by_path.unionByName(by_name).groupBy("src", "target").agg(F.min_by("_path", "_nth").alias("dst"))
-    return imports.join(hit, ["src", "target"], "left")
+    modules = known.select(paths.language(F.col("_path")).alias("_of"), F.regexp_replace(paths.dotted_module(F.col("_path")), r"\.(__init__|mod)$", "").alias("_key"), "_path").where("_of in ('python', 'rust', 'java')").groupBy("_of", "_key").agg(F.min("_path").alias("_path"))
+    table = known.select(F.lit("").alias("_of"), F.col("_path").alias("_key"), "_path").unionByName(modules)
+    found = placed.join(table, (F.col("_try.of") == F.col("_of")) & (F.col("_try.key") == F.col("_key")), "left")
+    return found.groupBy(*imports.columns).agg(F.min_by("_path", F.when(F.col("_path").isNotNull(), F.col("_nth"))).alias("dst"))

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..storage import checkpoint
 from .graph import resolve
 
 LANGUAGES = ("python", "javascript", "typescript", "rust", "go", "java")
 _ALIKE = {"jsx": "javascript", "tsx": "typescript"}
 _CODE = re.compile(r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?\*/""", re.DOTALL)
+_NOTES = re.compile(r"(?://|#)[^\n]*|/\*.*?\*/", re.DOTALL)
 _PY = re.compile(r"^[ \t]*(?:from[ \t]+(\.*)([\w.]*)[ \t]+import[ \t]*(\([^)]*\)|[^\n#;]+)|import[ \t]+([^\n#;]+))", re.MULTILINE)
 _JS = re.compile(r"""(?:\b(?:import|export)\s+(?:type\s+)?(?P<names>(?:[\w$*,\s]|\{[^}]*\})*?)\s*from\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)(["'])(?P<spec>[^"'\n]+)\2""")
 _RUST = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:use[ \t]+([^;]+);|mod[ \t]+(\w+)[ \t]*;)", re.MULTILINE)
@@ -25,7 +25,7 @@ _JAVA = re.compile(r"^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+(?:\.\*)?)[ \t]*
 
 def names_in(clause: str) -> list[str]:
     """Names of an import clause without their aliases: ``a, { b as c }, * as d`` -> a, b, *."""
-    bare = re.sub(r"[{}()]", ",", clause)
+    bare = re.sub(r"[{}()]", ",", _NOTES.sub(" ", clause))
     found = (re.split(r"\s+as\s+", x.strip())[0].removeprefix("type ").strip() for x in bare.split(","))
     return [x for x in found if x]
 
@@ -56,6 +56,22 @@ def dotted(path: str) -> list[str]:
     return parts[:-1] if parts[-1] in ("mod", "lib", "main") else parts
 
 
+def _live(pattern: re.Pattern[str], text: str) -> Iterator[re.Match[str]]:
+    """Matches that don't begin in a comment.  Comments are looked for only as far as matches go: most imports
+    stand on top of a file."""
+    comments = (c.span() for c in _CODE.finditer(text) if c.group(1) is None)
+    at, start, end = 0, -1, -1
+    while m := pattern.search(text, at):
+        first = m.end() - len(m.group().lstrip())
+        while end <= first:
+            start, end = next(comments, (len(text) + 1, len(text) + 1))
+        if start <= first:
+            at = end
+        else:
+            yield m
+            at = max(m.end(), at + 1)
+
+
 def parse(text: str | None, language: str | None, path: str = "") -> list[tuple[str, list[str], int]]:
     """(target, names, line) of every import of a file, in order.
 
@@ -78,14 +94,12 @@ def parse(text: str | None, language: str | None, path: str = "") -> list[tuple[
             else:
                 base = "./" if len(up) == 1 else "../" * (len(up) - 1)
                 out += [(m.start(), base + module.replace(".", "/"), got)] if module else [(m.start(), base + n, []) for n in got]
-    else:
-        text = _CODE.sub(lambda m: m.group(1) or re.sub(r"[^\n]", " ", m.group()), text)  # comments blanked, strings kept
-    if language in ("javascript", "typescript"):
-        out += [(m.start(), m["spec"], names_in(m["names"] or "")) for m in _JS.finditer(text)]
+    elif language in ("javascript", "typescript"):
+        out += [(m.start(), m["spec"], names_in(m["names"] or "")) for m in _live(_JS, text)]
     elif language == "rust":
         own = dotted(path)
-        for m in _RUST.finditer(text):
-            for x in spread(m.group(1)) if m.group(1) else [f"self::{m.group(2)}"]:
+        for m in _live(_RUST, text):
+            for x in spread(_NOTES.sub(" ", m.group(1))) if m.group(1) else [f"self::{m.group(2)}"]:
                 parts = x.split("::")
                 if parts[0] in ("self", "super"):
                     here = list(own)
@@ -94,10 +108,10 @@ def parse(text: str | None, language: str | None, path: str = "") -> list[tuple[
                     parts = ["crate", *here, *parts]
                 out.append((m.start(), "::".join(parts), parts[-1:]))
     elif language == "go":
-        for m in _GO.finditer(text):
+        for m in _live(_GO, text):
             out += [(m.start(), x, []) for x in ([m.group(2)] if m.group(2) else re.findall(r'"([^"]+)"', m.group(1)))]
     elif language == "java":
-        out += [(m.start(), m.group(1).removesuffix(".*"), [m.group(1).rsplit(".", 1)[-1]]) for m in _JAVA.finditer(text)]
+        out += [(m.start(), m.group(1).removesuffix(".*"), [m.group(1).rsplit(".", 1)[-1]]) for m in _live(_JAVA, text)]
     return [(spec, names, text.count("\n", 0, at) + 1) for at, spec, names in out if spec]
 
 
@@ -141,8 +155,8 @@ def mentioned(files: DataFrame) -> DataFrame:
 
 
 def links(files: DataFrame) -> DataFrame:
-    """Imports with ``dst`` (the file they mean, or null) and ``external``: not of the tree, as far as the name tells, and not resolved."""
-    found = resolve(checkpoint(extract(files)), files)  # read thrice below, parsed once
+    """Imports, one that stands twice on a line once, with ``dst`` (the file they mean, or null) and ``external``: not of the tree, as far as the name tells, and not resolved."""
+    found = resolve(extract(files), files)
     return found.withColumn("external", F.col("dst").isNull() & is_external(F.col("target"), F.col("language")))
 
 

@@ -76,6 +76,11 @@ def semantic(files: DataFrame, group: str, path: str, module: Column, tokens: st
     return rows.mapInArrow(fold, f"grp {kind}, chunk long, path string").withColumnRenamed("grp", group)
 
 
+def dependency(files: DataFrame, group: str, path: str, module: Column, tokens: str, *, most: int, overlap: int = 200) -> DataFrame:
+    """Chunks of files that depend on each other: files of a module stand together, as in ``semantic``."""
+    return semantic(files, group, path, module, tokens, most=most, overlap=overlap)
+
+
 def context(chunks: DataFrame, group: str, order: str, focus: str) -> DataFrame:
     """Chunks with their number in all and the labels of their neighbours."""
     w = Window.partitionBy(group).orderBy(order)

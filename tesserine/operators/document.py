@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
@@ -19,6 +19,7 @@ from . import overview, ranking, render, repomap, stats
 from .chunking import fit_budget
 
 Rows = list[dict[str, Any]]
+MARKDOWN_SYMBOLS = 15  # a table that people read
 #: Bytes a token by which a finished document is measured, by model.
 BUDGET_RATIO = dict(zip(tokens.MODELS, tokens.RATIOS["output"]))
 
@@ -177,6 +178,8 @@ def document(files: DataFrame, form: str = "xml", *, name: str = "corpus", order
     if formatter is None and form not in FORMATTERS:
         raise ValueError(f"unknown format {form}")
     f, parts = formatter or FORMATTERS[form], parts or Parts()
+    if form == "markdown":
+        parts = replace(parts, key_symbols=min(parts.key_symbols, MARKDOWN_SYMBOLS))
     budget = float("inf") if max_tokens is None else max_tokens * BUDGET_RATIO[model]
     head = [f.section(n, r) for n, r in sections(files, name, parts, order)]
     if parts.index:

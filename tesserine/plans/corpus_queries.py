@@ -299,9 +299,16 @@ def render_plain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.blocks(corpus.documents(spark, sf_dir), "plain").select("relative_path", "block")
 
 
-for _format in ("json", "yaml", "toon"):
-
-    @query(f"render_{_format}_blocks")
+_GEMINI = _F32.format(3.8)
+_QUOTED = "replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+_RISKY = "text = '' OR text <> trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) OR text IN ('true', 'false', 'null') OR try_cast(text AS DOUBLE) IS NOT NULL OR contains(text, ',') OR contains(text, '|') OR contains(text, '\"') OR contains(text, chr(10)) OR contains(text, chr(13)) OR contains(text, chr(9))"
+for _format, _sql in (
+    ("json", "to_json({'path': path, 'language': lang, 'token_count': {" + ", ".join(f"'{m}': CAST({_F32.format(r)} AS BIGINT)" for m, r in zip(tokens.MODELS, tokens.RATIOS["scan"])) + "}, 'content': text})::VARCHAR"),
+    ("yaml", f"'  - path: \"' || path || '\"' || chr(10) || '    language: ' || coalesce(lang, '') || chr(10) || '    tokens: ' || CAST({_GEMINI} AS BIGINT) || chr(10) || '    content: |' || chr(10) || '      ' || replace(text, chr(10), chr(10) || '      ')"),
+    ("toon", f"path || ',' || coalesce(lang, '') || ',' || {_CLAUDE} || ',' || CASE WHEN {_RISKY} THEN '\"' || {_QUOTED} || '\"' ELSE text END"),
+):
+
+    @query(f"render_{_format}_blocks", f"SELECT path AS relative_path, {_sql} AS block FROM {FILES}")
     def _blocks(spark: SparkSession, sf_dir: str, form: str = _format) -> DataFrame:
         return render.blocks(corpus.documents(spark, sf_dir), form).select("relative_path", "block")
 
@@ -311,7 +318,11 @@ def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.language_totals(spark, f"{sf_dir}/documents.parquet")
 
 
-@query("symbols_extract")
+@query(
+    "symbols_extract",
+    "SELECT '' || doc_id AS relative_path, 'f' || doc_id AS name, 'function' AS kind, 'def f' || doc_id || '(x: int)' AS signature, NULL::VARCHAR AS docstring, 1::BIGINT AS start_line, 2::BIGINT AS end_line, NULL::VARCHAR AS parent FROM documents UNION ALL SELECT '' || doc_id, 'C' || doc_id, 'class', 'class C' || doc_id, NULL, 4, 6, NULL FROM documents UNION ALL "
+    "SELECT '' || doc_id, 'm', 'method', 'def m(self)', ltrim(translate(text, chr(39) || chr(92) || chr(10), '   ')), 5, 6, 'C' || doc_id FROM documents",
+)
 def symbols_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     code = F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("(x: int):\n    return x\n\nclass C"), F.col("doc_id").cast("string"), F.lit(":\n    def m(self):\n        '''"), F.translate("text", "'\\\n", "   "), F.lit("'''\n"))

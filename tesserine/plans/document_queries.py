@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import overview, ranking, render, repomap, security
+from ..functions import paths, text, tokens
+from ..operators import chunking, overview, ranking, render, repomap, security, stats
 from ..sources import corpus
 from .base import FILES, query, table
 from .corpus_queries import _CLAUDE, _DIRS, _FILES, _KINDS, _MADE, _RANK, _SYMS, _WEIGHT, _symbols, made
@@ -97,8 +98,6 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("entry_types", f"SELECT path AS relative_path, doc_id % {len(_FILES)} IN ({', '.join(str(_FILES.index(x)) for x in _ENTRY)}) AS entry FROM {_MADE}")
 def entry_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import paths
-
     return made(spark, sf_dir).select("relative_path", paths.is_entry_point(F.col("relative_path")).alias("entry"))
 
 
@@ -184,3 +183,36 @@ def secret_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("secret_report", f"SELECT '- [' || CASE {_LEVELS} WHEN 'critical' THEN 'Critical' ELSE 'High' END || '] ' || {_PLANTED} || ' in d' || doc_id || ' (line 1)' AS line FROM documents WHERE doc_id % 14 < 12")
 def secret_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview.report_lines(security.findings(_planted(spark, sf_dir)).where("line = 1")).select("line")
+
+
+@query("chunk_focus", "SELECT doc_id // 3 AS chunk, CASE WHEN count(DISTINCT source) = 1 THEN min(source) || ' module' WHEN count(DISTINCT lang) = 1 THEN min(lang) || ' files' ELSE 'Mixed content' END AS focus FROM documents GROUP BY doc_id // 3")
+def chunk_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = corpus.documents(spark, sf_dir)
+    return f.groupBy(F.floor(F.col("seq") / 3).alias("chunk")).agg(chunking.focus(paths.module(F.col("relative_path")), F.col("language"), F.col("relative_path")).alias("focus"))
+
+
+@query("wasm_stats", f"SELECT count(*) AS files, " + ", ".join(f"CAST(sum(ceil(strlen(text)::DOUBLE / {r}::DOUBLE)) AS BIGINT) AS {m}" for m, r in zip(tokens.MODELS, tokens.RATIOS["wasm"])) + " FROM documents")
+def wasm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.totals(corpus.documents(spark, sf_dir), "wasm").drop("lines")
+
+
+@query("size_only_estimate", "SELECT doc_id, CAST(ceil(n_chars::DOUBLE / 4.0::DOUBLE) AS BIGINT) AS tokens FROM documents")
+def size_only_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the size alone: the text is never read."""
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.of_size(F.col("n_chars"), 4.0, "wasm").alias("tokens"))
+
+
+@query("compression_level", "SELECT doc_id, text FROM documents")
+def compression_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No compression on even ids; on odd ones the least of all levels, over texts whose every line says something."""
+    d = table(spark, sf_dir, "documents")
+    padded = F.concat(F.replace("text", F.lit("\n"), F.lit("\n \n\t\n")), F.lit("\n\n"))
+    bare = text.compress(F.regexp_replace(padded, r"\n\s*\n", "\n\n"), F.col("lang"), "minimal")
+    return d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, text.compress(F.col("text"), F.col("lang"), "none")).otherwise(bare).alias("text"))
+
+
+@query("critical_gate", f"SELECT min('d' || doc_id) AS first FROM documents WHERE {_LEVELS} = 'critical'")
+def critical_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file that the gate names: the first by path with a critical finding."""
+    found = security.findings(_planted(spark, sf_dir)).where("line = 1")
+    return found.where("severity = 'critical'").agg(F.min("relative_path").alias("first"))

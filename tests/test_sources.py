@@ -145,3 +145,9 @@ def test_git_details(spark, tmp_path):
     doc = cli.main(["pack", str(root), "--include-logs", "--include-diffs", "--sort-by-changes"], spark)
     assert "step 1" in doc and git.address("github:o/n")[0] == "https://github.com/o/n" and git.address("https://gitlab.com/o/n/-/tree/dev/a/b") == ("https://gitlab.com/o/n", "dev", "a/b")
     assert git.is_address("o/n") and git.address("o/n") == ("https://github.com/o/n", None, None) and not git.is_address("./o/n")
+
+
+def test_pairs_in_memory(spark):
+    got = {r.relative_path: r for r in repo.in_memory(spark, [("a.py", "x = 1"), ("b", "é"), ("c.rs", None)]).collect()}
+    assert (got["a.py"].language, got["a.py"].size_bytes, got["b"].language, got["b"].size_bytes, got["c.rs"].size_bytes) == ("python", 5, None, 2, None)
+    assert [got[k].seq for k in ("a.py", "b", "c.rs")] == [0, 1, 2]

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -259,6 +260,49 @@ def test_neighbours_of_every_vector(spark):
     assert vectors.all_most_similar(d.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize(("tile", "kinds", "ids"), [(7, 40, 400), (7, 4, 400), (16, 40, 30), (16, 3, 30), (4096, 9, 60)])
+def test_nearest_of_a_block(monkeypatch, tile, kinds, ids):
+    """Ties, copies and ids that stand twice, over tiles and slices of any size, against all scores."""
+    for name, value in (("TILE", tile), ("SLICE", 5), ("PAIRS", 11)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(tile + kinds)
+    v = rng.normal(size=(kinds, 4))[rng.integers(0, kinds, 90)]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    own, others = np.sort(rng.integers(0, ids, 30)), np.sort(rng.integers(0, ids, 60))
+    best: dict = {}
+    for i, a in zip(own, v[:30]):
+        for j, b in zip(others, v[30:]):
+            if i != j:
+                best.setdefault(i, {})[j] = max(np.round(a @ b, 5), best[i].get(j, -2) if i in best else -2)
+    want = {(i, j, s) for i, near in best.items() for j, s in sorted(near.items(), key=lambda x: (-x[1], x[0]))[:6]}
+    got = list(zip(*vectors.nearest(own, v[:30], others, v[30:], 6)))
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_neighbours_cost_little_more_than_their_products():
+    """No sort of whole rows of scores; rows move once a block, and blocks are few."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(512, 64)), rng.normal(size=(16384, 64))
+    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+
+    def seconds(f):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            f()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    bare = seconds(lambda: [x @ y[c : c + 4096].T for c in range(0, len(y), 4096)])
+    assert seconds(lambda: vectors.nearest(np.arange(512), x, np.arange(16384), y, 10)) < 8 * bare
+    assert vectors._blocks(615_000, vectors.BLOCK, 12) <= 14 and vectors._blocks(6_000_000, vectors.BLOCK, 12) <= 92 and vectors._blocks(500, vectors.BLOCK, 12) == 1
+
+
+def test_vectors_of_unlike_lengths_are_refused(spark):
+    with pytest.raises(Exception, match="differ in length"):
+        vectors.all_most_similar(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<float>"), 1).collect()
+
+
 def test_importers_of_every_target(spark):
     e = spark.createDataFrame([(1, 2), (1, 2), (3, 2), (2, 4), (5, None)], "src long, dst long")
     assert sorted(map(tuple, graph.all_importers(e).collect())) == [(2, 1), (2, 3), (4, 2)]

@@ -187,13 +187,22 @@ def relative(source: Column, target: Column) -> Column:
     return F.when(target.rlike(r"^\.\.?(/|$)"), paths.normalise(F.concat(folder, target))).otherwise(target)
 
 
-def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
+#: Files, and with them imports, of one task where imports are looked up.
+PART = 8192
+
+
+def resolve(imports: DataFrame, files: DataFrame, part: int = PART) -> DataFrame:
     """imports (src, language, target, ...) with ``dst``: the first candidate path that is a file, else the first
     file whose dotted module is the target or the longest beginning of it, else null.
 
     Candidates carry their order; one equality join against the listing finds all at once, and ``imports`` is
     gone through once.  Nulls resolve to nothing; equal rows are one.
+
+    The listing is cut into hash tables of about ``part`` files that candidates stream past, so that a name that
+    every file imports is never held.  What was found and one row of each import move on, in as many parts:
+    the memory of a task doesn't grow with the tree.
     """
+    count = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // part))
     shapes = F.create_map(*(x for k, v in _INDEX.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     forms = F.coalesce(F.try_element_at(shapes, F.coalesce("language", F.lit(""))), F.array(*map(F.lit, _SCRIPT)))
     parts = F.split(F.regexp_replace(F.regexp_replace("target", r"^crate::", ""), r"::|/", "."), r"\.")
@@ -206,5 +215,7 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select(F.col("relative_path").alias("_path")).where("_path is not null").distinct()
     modules = known.select(paths.language(F.col("_path")).alias("_of"), F.regexp_replace(paths.dotted_module(F.col("_path")), r"\.(__init__|mod)$", "").alias("_key"), "_path").where("_of in ('python', 'rust', 'java')").groupBy("_of", "_key").agg(F.min("_path").alias("_path"))
     table = known.select(F.lit("").alias("_of"), F.col("_path").alias("_key"), "_path").unionByName(modules)
-    found = placed.join(table, (F.col("_try.of") == F.col("_of")) & (F.col("_try.key") == F.col("_key")), "left")
+    asked = placed.withColumns({"_a": F.col("_try.of"), "_b": F.col("_try.key")}).drop("_try").repartition(count, "_a", "_b")
+    found = asked.join(table.repartition(count, "_of", "_key").hint("shuffle_hash"), (F.col("_a") == F.col("_of")) & (F.col("_b") == F.col("_key")), "left")
+    found = found.where("_path is not null or coalesce(_nth, 0) = 0").drop("_a", "_b", "_of", "_key").repartition(count, *imports.columns)
     return found.groupBy(*imports.columns).agg(F.min_by("_path", F.when(F.col("_path").isNotNull(), F.col("_nth"))).alias("dst"))

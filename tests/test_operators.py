@@ -346,6 +346,20 @@ def test_links_of_a_tree(spark):
     assert {r.package for r in imports.external_packages(f, imports.links(f)).collect()} == {"react", "numpy", "std"}
 
 
+def test_imports_are_looked_up_in_parts(spark):
+    """As many parts as the listing needs, no sort before the lookup, the same links however many; rows that stand twice are one."""
+    lines = lambda i: f"import numpy\nfrom .m{i + 1} import x\nfrom p.m{i // 2}.k import y\n"
+    f = files(spark, [(f"p/m{i}.py", "python", lines(i)) for i in range(40)] + [("p/m0.py", "python", lines(0)), (None, "python", "import q")])
+    want = {(f"p/m{i}.py", t, d) for i in range(40) for t, d in (("numpy", None), (f"./m{i + 1}", f"p/m{i + 1}.py" if i < 39 else None), (f"p.m{i // 2}.k", f"p/m{i // 2}.py"))} | {(None, "q", None)}
+    found = imports.extract(f)
+    for part in (1, 5, 1000):
+        got = graph.resolve(found, f, part)
+        assert sorted(map(str, want)) == sorted(str((r.src, r.target, r.dst)) for r in got.collect())
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert got.rdd.getNumPartitions() == max(4, -(-42 // part))
+
+
 def test_names_that_no_package_can_have(spark):
     d = spark.createDataFrame([("@types/node/fs", "typescript"), ("node:fs", "javascript"), ("github.com/a/b/c", "go"), ("9bad", "python"), ("{a}", "javascript"), ("serde::de", "rust")], "t string, l string")
     assert [r[0] for r in d.select(imports.package(F.col("t"), F.col("l"))).collect()] == ["@types/node", "fs", "github.com/a/b", None, None, "serde"]

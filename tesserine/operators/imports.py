@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from .graph import resolve
 
+#: Files whose texts are held as Python strings at a time.
+SLICE = 1024
 LANGUAGES = ("python", "javascript", "typescript", "rust", "go", "java")
 _ALIKE = {"jsx": "javascript", "tsx": "typescript"}
 _CODE = re.compile(r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?\*/""", re.DOTALL)
@@ -120,7 +122,7 @@ def extract(files: DataFrame) -> DataFrame:
     languages have none; texts are read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows = [(p, n, *x) for p, n, t in zip(*(c.to_pylist() for c in b.columns)) for x in parse(t, n, p or "")]
             if rows:
                 kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64())
